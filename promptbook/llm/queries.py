@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptbook.llm import density_groups, records, term_census, term_weights, text_pieces
+from promptbook.llm import density_groups, records, term_census, term_weights, text_pieces, vector_neighbors
 from promptbook.sources.tables import table
 
 QUERIES: dict = {}
@@ -120,3 +120,31 @@ SQL["p7_found"] = "SELECT DISTINCT character_id FROM character_documents WHERE l
 @query
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).withColumnRenamed("id", "character_id")
+
+
+def _dim(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "embeddings_metadata").agg(F.max("dim")).first()[0]
+
+
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vector_neighbors.nearest(table(spark, d, "character_vectors"), "character_id", "embedding", _dim(spark, d), 5, 0.85)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+SQL["p5_found"] = """
+WITH v AS (SELECT character_id AS id, max(embedding) AS e FROM character_vectors WHERE len(embedding) = (SELECT max(dim) FROM embeddings_metadata)
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+u AS (SELECT id, list_transform(e, lambda x: x::DOUBLE) AS e FROM v),
+c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.id <> b.id),
+best AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM c WHERE s >= 0.85) WHERE r <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best
+"""
+
+
+@query
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).select(F.col("id").alias("character_id"), "neighbour", F.round("cosine", 6).alias("cosine"))
