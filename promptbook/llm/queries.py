@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptbook.llm import density_groups, records, term_census, term_weights, text_pieces, vector_neighbors
+from promptbook.llm import density_groups, records, spam_pages, term_census, term_weights, text_pieces, vector_neighbors
 from promptbook.sources.tables import table
 
 QUERIES: dict = {}
@@ -148,3 +148,13 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best
 @query
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).select(F.col("id").alias("character_id"), "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages.spam_pages(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
+
+
+@query
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages.spam_shares(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").withColumn("spam_share", F.round("spam_share", 6))
