@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 #: Words to either side that make up the lag window of a word.
 LAG = 12
-#: At most this share of function words makes a stretch a list; this many equal content words within the window,
-#: and this share of such words in it, make it stuffed.
-LIST_SHARE, DENSE_COUNT, DENSE_SHARE = 0.12, 4, 0.16
+#: At most this share of function words makes a stretch a list. A content word that makes up this share of its
+#: window (and occurs three times in it) is dense, and a window with this share of dense words is stuffed.
+LIST_SHARE, DENSE_TERM, DENSE_SHARE = 0.12, 0.19, 0.16
 #: Short segments are judged with the words around them.
 SHORT = 6
 
@@ -106,6 +106,7 @@ def _judge(texts: list[str], words: _Words) -> tuple[np.ndarray, ...]:
         total = np.concatenate([[0], np.cumsum(flag)])
         return total[b] - total[a]
 
+    wide_lo, wide_hi = np.maximum(at - LAG, doc_lo), np.minimum(at + LAG + 1, doc_hi)
     function = kind == _Words.FUNCTION
     in_list = within(function, lo, hi) <= LIST_SHARE * (hi - lo)
     # gaps between equal content words: positions sorted by document and term
@@ -117,8 +118,8 @@ def _judge(texts: list[str], words: _Words) -> tuple[np.ndarray, ...]:
         order = np.argsort(key, kind="stable")
         s = key[order]
         close = np.searchsorted(s, s + LAG, "right") - np.searchsorted(s, s - LAG, "left")
-        dense[content[order]] = close >= DENSE_COUNT
-    wide_lo, wide_hi = np.maximum(at - LAG, doc_lo), np.minimum(at + LAG + 1, doc_hi)
+        own = content[order]
+        dense[own] = close >= np.maximum(3, DENSE_TERM * (wide_hi - wide_lo)[own])
     stuffed = within(dense, wide_lo, wide_hi) >= DENSE_SHARE * (wide_hi - wide_lo)
     link = kind == _Words.LINK
     count = lambda flag: np.bincount(doc[flag], minlength=n_docs)
