@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptbook.llm import density_groups, records, spam_pages, term_census, term_weights, text_pieces, vector_neighbors
+from promptbook.llm import containers, density_groups, records, source_mix, spam_pages, term_census, term_weights, text_pieces, tokens, vector_neighbors
 from promptbook.sources.tables import table
 
 QUERIES: dict = {}
@@ -158,3 +158,40 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages.spam_shares(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").withColumn("spam_share", F.round("spam_share", 6))
+
+
+#: Segments and loss-bearing tokens that a container of problem 8 holds at most; its tokens come from size_limits.
+MAX_SEGMENTS, MAX_LOSS_SHARE = 24, 63 / 64
+
+
+@query
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    capacity, _ = _limit(spark, d, "containers")
+    sizes = tokens.token_sizes(table(spark, d, "documents"), "doc_id", "text")
+    return containers.fill_containers(sizes, capacity, MAX_SEGMENTS, int(capacity * MAX_LOSS_SHARE)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    capacity, _ = _limit(spark, d, "containers")
+    used = p8_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("segments"), F.sum("n_loss").alias("loss"))
+    return used.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("segments").alias("most_segments"), F.max("n").alias("most_tokens"), F.max("loss").alias("most_loss"), F.round(F.avg(F.col("n") / capacity), 4).alias("fill"))
+
+
+def _draws(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    listed = F.broadcast(targets.select(F.lower(F.trim("source")).alias("s")).distinct())  # one row per listed source
+    docs = table(spark, d, "documents").join(listed, F.lower(F.trim("source")) == F.col("s"), "left_semi")
+    keyed = docs.select(F.struct("doc_id", "source", source_mix.text_key("text").alias("key")).alias("row"), "text")
+    sized = tokens.token_sizes(keyed, "row", "text").select(F.col("id.doc_id").alias("id"), "id.source", "id.key", "n_tokens")
+    return source_mix.mix_sources(sized, targets)
+
+
+@query
+def p9_draws(spark: SparkSession, d: str) -> DataFrame:
+    return _draws(spark, d).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return source_mix.shares(_draws(spark, d), table(spark, d, "mix_targets"))
