@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptbook.llm import containers, density_groups, records, source_mix, spam_pages, term_census, term_weights, text_pieces, tokens, vector_neighbors
+from promptbook.llm import containers, density_groups, name_variants, records, source_mix, spam_pages, term_census, term_weights, text_pieces, tokens, vector_neighbors
 from promptbook.sources.tables import table
 
 QUERIES: dict = {}
@@ -195,3 +195,13 @@ def p9_draws(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return source_mix.shares(_draws(spark, d), table(spark, d, "mix_targets"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.variant_pairs(name_variants.link_names(table(spark, d, "character_table"), table(spark, d, "catalogue")))
+
+
+@query
+def p3_persons(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.link_names(table(spark, d, "character_table"), table(spark, d, "catalogue"))
