@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptbook.llm import containers, density_groups, name_variants, records, source_mix, spam_pages, term_census, term_weights, text_pieces, tokens, vector_neighbors
+from promptbook.llm import containers, density_groups, name_variants, records, scan_repair, source_mix, spam_pages, term_census, term_weights, text_pieces, tokens, vector_neighbors
 from promptbook.sources.tables import table
 
 QUERIES: dict = {}
@@ -205,3 +205,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_persons(spark: SparkSession, d: str) -> DataFrame:
     return name_variants.link_names(table(spark, d, "character_table"), table(spark, d, "catalogue"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.find_repairs(table(spark, d, "character_table"), table(spark, d, "character_documents"), table(spark, d, "metadata"))
