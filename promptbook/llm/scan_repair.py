@@ -40,15 +40,16 @@ _ROMAN = r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _LEAF = r"(?:Page|Pag\.|pag\.|[Ff]ol\.|[Ff]olio)\s*\d{1,4}\.?"
 _PAGE_LINE = re.compile(rf"\d{{1,4}}\.?|\[\s*\d{{1,4}}\s*\]|[-—–]\s*\d{{1,4}}\s*[-—–]|{_LEAF}|[A-Z]{{1,2}}\d{{1,2}}\.?|{_ROMAN}\.")
 _PAGE_INLINE = re.compile(rf"\[\s*\d{{1,4}}\s*\]|(?<!\S)[-—–]\s*\d{{1,4}}\s*[-—–](?!\S)|(?<!\S){_LEAF}(?!\S)|(?<!\S)[A-Z]{{1,2}}\d{{1,2}}\.?(?!\S)|(?<!\S){_ROMAN}\.(?!\S)|(?<!\S)\d{{1,3}}(?!\S)")
-_SMALL = r"(?:of|or|the|and|a|in|to)"
+_SMALL = rf"[a-z0-9{MISSING}]{{1,3}}"  # of, or, the, and the like, well read or not
 _CAP = rf"[A-Z][\w{MISSING}'\-]*"
 #: A run of words in capitals or with initial capitals, as titles are printed, in a text without line ends.
 _TITLE_INLINE = re.compile(rf"(?<!\S){_CAP}(?:,?\s+(?:{_SMALL}\s+)*{_CAP})+[.,]?(?!\w)")
-_NUMBER_BEFORE = re.compile(r"(?<!\S)\d{1,3}\s+$")
+_NUMBER_BEFORE = re.compile(r"(?<!\S)(?<!Page )(?<!Pag\. )(?<!pag\. )(?<!fol\. )(?<!Fol\. )(?<!year )\d{1,3}\s+$")
 _NUMBER_AFTER = re.compile(r"^\.?\s*(?:\[\s*\d{1,4}\s*\]|\d{1,3}(?!\S))")
 _BREAK_LINE = re.compile(rf"([\w{MISSING}]+(?:-[\w{MISSING}]+)*)[{BREAKS}][^\S\n]*\n\s*([\w{MISSING}]+(?:-[\w{MISSING}]+)*)")
 _BREAK_INLINE = re.compile(rf"([\w{MISSING}]+(?:-[\w{MISSING}]+)*)[{BREAKS}]\s+([\w{MISSING}]+(?:-[\w{MISSING}]+)*)")
 _DIGITS = re.compile(r"\d+")
+_NUMBER = re.compile(r"\[?\d{1,4}\]?[.,]?")
 
 
 def plain(word: str) -> str:
@@ -94,7 +95,7 @@ def line_features(lines: list[str], i: int, known) -> list[float]:
         caps,
         sum(c.isupper() for c in line) / max(1, len(line)),
         float(len(parts)),
-        sum(c.isdigit() for c in line) / max(1, len(line)),
+        sum(bool(_NUMBER.fullmatch(q)) and not re.fullmatch("year[e]?", p, re.I) for p, q in zip(["", *parts], parts)) / max(1, len(parts)),
         float(bool(_PAGE_LINE.fullmatch(line))),
         len(line) / usual,
         float(line[-1:] in ",;:?!"),
@@ -152,8 +153,8 @@ def read_page(text: str, known, lines_model) -> list[tuple[str, str, str, str]]:
         for m in _TITLE_INLINE.finditer(raw):
             a, e = m.span()
             piece = m.group()
-            if before := _NUMBER_BEFORE.search(raw[max(0, a - 6) : a]):
-                a -= len(before.group())
+            if before := _NUMBER_BEFORE.search(squeeze(raw[max(0, a - 14) : a]) + " "):
+                a = raw.rindex(before.group().strip(), 0, a)
             if after := _NUMBER_AFTER.match(raw[e : e + 12]):
                 e += len(after.group())
             key = title_key(piece)
@@ -239,13 +240,32 @@ def rank_features(form: str, printed: str, n_form: float, n_printed: float, n_be
     return [kind, np.log1p(n_printed), np.log1p(n_before), np.log1p(n_after), float(at == 0), float(at + len(x) == len(form)), float(len(form)), np.log1p(n_form) - np.log1p(n_printed), n_rivals, float(len(x) != len(y))]
 
 
+def _roman(n: int) -> str:
+    out = ""
+    for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        while n >= value:
+            out, n = out + sign, n - value
+    return out
+
+
 def typeset(text: str, title: str, rng: np.random.Generator) -> tuple[list[str], list[int], list[tuple[str, str, int]]]:
     """A clean text set in lines like a scanned page: its lines, whether each is furniture, and its broken words
     as (left, right, whether the hyphen belongs to the word)."""
     width = int(rng.integers(30, 60))
     mark = BREAKS[int(rng.integers(len(BREAKS)))]
     lines, flags, breaks, line = [], [], [], ""
-    for word in text.split():
+
+    def smudge(word: str) -> str:
+        i = int(rng.integers(len(word)))
+        return word[:i] + {"l": "1", "o": "0", "e": "c", "t": "l", "n": "u", "h": "b"}.get(word[i], MISSING) + word[i + 1 :]
+
+    source = text.split()
+    if rng.random() < 0.5 and len(source) > 8:
+        i = int(rng.integers(1, len(source) - 1))
+        source[i:i] = ["in", "the", "year", f"{int(rng.integers(1500, 1700))},"]
+    for word in source:
+        if rng.random() < 0.02 and not any(c.isdigit() for c in word):
+            word = smudge(word)
         if len(line) + len(word) + 1 <= width:
             line = f"{line} {word}".strip()
             continue
@@ -269,8 +289,11 @@ def typeset(text: str, title: str, rng: np.random.Generator) -> tuple[list[str],
         if rng.random() < 0.12:
             n = int(rng.integers(1, 150))
             name = title.upper() if rng.random() < 0.4 else title
-            form = int(rng.integers(9))
-            extra = [name, f"{name}.", f"{name} {n}", f"{n} {name}", f"{name}. [{n}]", f"[{n}]", f"- {n} -", f"Page {n}", str(n)][form]
+            if rng.random() < 0.2:
+                name = " ".join(smudge(p) if rng.random() < 0.4 else p for p in name.split())
+            letter, low = "ABCDEFGHK"[int(rng.integers(9))], _roman(n)
+            forms = [name, f"{name}.", f"{name} {n}", f"{n} {name}", f"{name}. [{n}]", f"{name} [{n}]", f"[{n}]", f"- {n} -", f"Page {n}", f"Pag. {n}", f"fol. {n}", str(n), f"{letter}{n % 4 + 1}", f"{letter}{n % 4 + 1}.", f"{low}."]
+            extra = forms[int(rng.integers(len(forms)))]
             lines.append(extra)
             flags.append(1)
     if line:
@@ -450,7 +473,8 @@ def find_repairs(pages: DataFrame, clean: DataFrame, metadata: DataFrame) -> Dat
     own = titles.select("tcp", F.col("title"))
     common = lines.join(own, "tcp", "left_anti").groupBy("tcp", "a").agg(F.count("*").alias("n")).groupBy("tcp").agg(F.max_by("a", F.struct("n", "a")).alias("title"))
     keyed = cut(own.mapInArrow(_title_keys, "tcp string, title string").unionByName(common))
-    header = lines.select("row_id", F.lit("header").alias("kind"), "piece")
+    checked = lines.join(keyed, "tcp", "left").select("row_id", "piece", "a", "title")
+    header = checked.mapInArrow(_confirm_lines, f"row_id {kind}, kind string, piece string")
     inline = found.where("kind = 'title'").join(keyed, "tcp").mapInArrow(_match_titles, f"row_id {kind}, kind string, piece string")
 
     words = found.where("kind = 'word'").select("row_id", F.lit("char").alias("source"), F.col("piece").alias("form"), F.col("a").alias("before"), F.col("b").alias("after")).distinct()
@@ -499,6 +523,14 @@ def _match_titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("row_id").type), pa.array(["header"] * len(ids), pa.string()), pa.array(pieces, pa.string())], names=["row_id", "kind", "piece"])
 
 
+def _confirm_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines taken for a running title that are like the play's title, or of plays without any."""
+    for b in batches:
+        keep = [not t or likeness(a, t) > 0.6 for a, t in zip(b.column("a").to_pylist(), b.column("title").to_pylist())]
+        b = b.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(["header"] * b.num_rows, pa.string()), b.column("piece")], names=["row_id", "kind", "piece"])
+
+
 def title_span(piece: str, title: str) -> str | None:
     """The words of ``piece`` that spell ``title``, with a page number right before or after them; None if none do."""
     parts = piece.split(" ")
