@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from promptbook.llm.boosting import Boosted
 from promptbook.plans.lineage import cut
+from promptbook.plans.sampling import bounded_sample
 
 #: Clean texts from which the classifiers are fitted, at most, and words that stand for the vocabulary meanwhile.
 SAMPLE_TEXTS, SAMPLE_WORDS = 1500, 20_000
@@ -46,9 +47,13 @@ _CAP = rf"[A-Z][\w{MISSING}'\-]*"
 _TITLE_INLINE = re.compile(rf"(?<!\S){_CAP}(?:,?\s+(?:{_SMALL}\s+)*{_CAP})+[.,]?(?!\w)")
 _NUMBER_BEFORE = re.compile(r"(?<!\S)(?<!Page )(?<!Pag\. )(?<!pag\. )(?<!fol\. )(?<!Fol\. )(?<!year )\d{1,3}\s+$")
 _NUMBER_AFTER = re.compile(r"^\.?\s*(?:\[\s*\d{1,4}\s*\]|\d{1,3}(?!\S))")
-_BREAK_LINE = re.compile(rf"([\w{MISSING}]+(?:-[\w{MISSING}]+)*)[{BREAKS}][^\S\n]*\n\s*([\w{MISSING}]+(?:-[\w{MISSING}]+)*)")
-_BREAK_INLINE = re.compile(rf"([\w{MISSING}]+(?:-[\w{MISSING}]+)*)[{BREAKS}]\s+([\w{MISSING}]+(?:-[\w{MISSING}]+)*)")
+_BREAK_LINE = re.compile(rf"(?<=[\w{MISSING}])[{BREAKS}][^\S\n]*\n\s*(?=[\w{MISSING}])")
+_BREAK_INLINE = re.compile(rf"(?<=[\w{MISSING}])[{BREAKS}]\s+(?=[\w{MISSING}])")
+_LAST = re.compile(rf"[\w{MISSING}]+(?:-[\w{MISSING}]+)*$")
+_CAPITAL = re.compile(r"(?<!\S)[A-ZÀ-Þ]")
+_TOKEN = re.compile(rf"[\w{MISSING}]+(?:-[\w{MISSING}]+)*|\x01")
 _DIGITS = re.compile(r"\d+")
+_ANY_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\[?\d{1,4}\]?[.,]?")
 
 
@@ -89,7 +94,8 @@ def line_features(lines: list[str], i: int, known) -> list[float]:
     caps = sum(p.lstrip("([\"'")[:1].isupper() for p in longer) / len(longer) if longer else float(bool(alpha) and alpha[0][:1].isupper())
     before = next((x for x in reversed(lines[:i]) if x), "")
     after = next((x for x in lines[i + 1 :] if x), "")
-    usual = np.median([len(x) for x in lines if x]) or 1
+    sizes = sorted(len(x) for x in lines if x)
+    usual = sizes[len(sizes) // 2] if sizes else 1
     middle = [w for w in _WORD.findall(line) if not w.isdigit()]
     return [
         caps,
@@ -106,6 +112,10 @@ def line_features(lines: list[str], i: int, known) -> list[float]:
     ]
 
 
+#: Length of what ``line_features`` returns.
+LINE_FEATURES = 11
+
+
 class Filter:
     """Bloom filter of the known words with a memory of the answers given so far."""
 
@@ -127,19 +137,25 @@ def filter_places(word: str) -> list[int]:
     return [(a + i * b) % FILTER_BITS for i in range(4)]
 
 
-def read_page(text: str, known, lines_model) -> list[tuple[str, str, str, str]]:
-    """``(kind, piece, left, right)`` of a text: ``page_no``; ``title`` (a running title as it stands, with its key
+def page_lines(text: str, known) -> tuple[list[str], list[int], list[list[float]]]:
+    """The lines of a text, which of them may be page furniture, and the features of these."""
+    lines = [x.strip() for x in text.replace("\r", "").split("\n")]
+    if len(lines) == 1:
+        return lines, [], []
+    suspects = [i for i, x in enumerate(lines) if x and (len(x) < 10 or _ANY_DIGIT.search(x) or len(_CAPITAL.findall(x)) * 2 >= x.count(" ") + 1)]
+    return lines, suspects, [line_features(lines, i, known) for i in suspects]
+
+
+def read_page(text: str, known, lines: list[str], furniture: dict[int, float]) -> list[tuple[str, str, str, str]]:
+    """``(kind, piece, left, right)`` of a text, given its lines and how likely these are furniture: ``page_no``; ``title`` (a running title as it stands, with its key
     to be confirmed where the text has no line ends); ``hyphen`` with both halves; ``word`` (an unknown word with
     its neighbours); ``furniture``, lines taken for a running title by the line classifier."""
     out: list[tuple[str, str, str, str]] = []
     raw = text.replace("\r", "")
-    lines = [x.strip() for x in raw.split("\n")]
     if len(lines) > 1:
         body = []
-        suspects = [i for i, x in enumerate(lines) if x and (any(c.isdigit() for c in x) or x.istitle() or x.isupper() or len(x) < 10 or sum(p[:1].isupper() for p in x.split()) * 2 >= len(x.split()))]
-        score = dict(zip(suspects, lines_model(np.array([line_features(lines, i, known) for i in suspects]).reshape(len(suspects), -1)))) if suspects else {}
         for i, x in enumerate(lines):
-            if score.get(i, 0.0) > 0.5:
+            if furniture.get(i, 0.0) > 0.5:
                 if _PAGE_LINE.fullmatch(x):
                     out.append(("page_no", squeeze(x), "", ""))
                     continue
@@ -172,18 +188,21 @@ def read_page(text: str, known, lines_model) -> list[tuple[str, str, str, str]]:
         for a, e in sorted(spans, reverse=True):
             raw = raw[:a].rstrip() + " " + raw[e:].lstrip()
         whole, broken = raw, _BREAK_INLINE
-    halves: dict[str, tuple[str, str]] = {}
-
-    def join(m: re.Match) -> str:
-        left, right = plain(m.group(1)), plain(m.group(2))
-        halves[f"{left}\x00{right}"] = (left, right)
-        return " \x01 "
-
-    whole = broken.sub(join, whole)
-    out += [("hyphen", "", a, b) for a, b in halves.values()]
-    tokens = [plain(w) for w in re.findall(rf"[\w{MISSING}]+(?:-[\w{MISSING}]+)*|\x01", whole)]
+    halves: set[tuple[str, str]] = set()
+    kept, at = [], 0
+    for m in broken.finditer(whole):
+        if m.start() < at:
+            continue
+        left, right = _LAST.search(whole[at : m.start()]), _WORD.match(whole, m.end())
+        if left and right:
+            halves.add((plain(left.group()), plain(right.group())))
+            kept += [whole[at : at + left.start()], "\x01"]
+            at = right.end()
+    whole = "".join([*kept, whole[at:]])
+    out += [("hyphen", "", a, b) for a, b in sorted(halves)]
+    tokens = _TOKEN.findall(plain(whole))
     for i, w in enumerate(tokens):
-        if w != "\x01" and not w.isdigit() and not known(w) and any(c.isalpha() for c in w):
+        if not known(w) and w != "\x01" and not w.isdigit() and any(c.isalpha() for c in w):
             out.append(("word", w, tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""))
     return out
 
@@ -367,7 +386,7 @@ def fit_models(texts: list[str], titles: list[str], seed: int = 5):
                     rank_x.append(f)
                     rank_y.append(int(c == truth and not real))
     fit = lambda x, y, d: Boosted().fit(np.array(x or [[0.0] * d] * 2), np.array(y or [0, 1]))
-    return fit(line_x, line_y, 11), fit(join_x, join_y, 5), fit(rank_x, rank_y, 10)
+    return fit(line_x, line_y, LINE_FEATURES), fit(join_x, join_y, 5), fit(rank_x, rank_y, 10)
 
 
 def join_features(n_joined: float, n_hyphen: float, n_left: float, n_right: float) -> list[float]:
@@ -399,7 +418,13 @@ def _read_rows(bits, model):
         known = Filter(bits.value)
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             ids, tcps, texts = (b.column(i).to_pylist() for i in range(3))
-            rows = [(r, p, *e) for r, p, t in zip(ids, tcps, texts) for e in read_page(t, known, model.predict)]
+            pages = [page_lines(t, known) for t in texts]
+            scores = model.predict(np.array([f for _, _, feats in pages for f in feats], float).reshape(-1, LINE_FEATURES))  # all lines of the batch at once
+            rows, at = [], 0
+            for r, p, t, (lines, suspects, _) in zip(ids, tcps, texts, pages):
+                furniture = dict(zip(suspects, scores[at : at + len(suspects)]))
+                at += len(suspects)
+                rows += [(r, p, *e) for e in read_page(t, known, lines, furniture)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], b.column(0).type), *(pa.array([x[i] for x in rows], pa.string()) for i in range(1, 6))], names=["row_id", "tcp", "kind", "piece", "a", "b"])
 
     return run
@@ -458,9 +483,9 @@ def find_repairs(pages: DataFrame, clean: DataFrame, metadata: DataFrame) -> Dat
         bits[[c.cell for c in cells]] = np.array([c.bits for c in cells], dtype=np.int64).astype(np.uint64)
     shared = spark.sparkContext.broadcast(bits)  # 4 MB whatever the data
 
-    sample = [r.speech_text for r in source.select("speech_text", F.xxhash64("speech_text").alias("h")).where(F.length("speech_text") < 20_000).orderBy("h").limit(SAMPLE_TEXTS).collect()]  # bounded by SAMPLE_TEXTS
+    sample = bounded_sample(source.where(F.length("speech_text") < 20_000), "speech_text", SAMPLE_TEXTS)
     titles = metadata.where("tcp is not null and title is not null").groupBy("tcp").agg(F.max(F.trim("title")).alias("title"))
-    some = [r.title for r in titles.select("title", F.xxhash64("title").alias("h")).orderBy("h").limit(SAMPLE_TEXTS).collect()]  # bounded by SAMPLE_TEXTS
+    some = bounded_sample(titles, "title", SAMPLE_TEXTS)
     line_model, join_model, rank_model = fit_models(sample, some)
 
     once = pages.where("row_id is not null and speech_text is not null").groupBy("row_id").agg(F.max(F.struct("speech_text", "tcp")).alias("r")).select("row_id", F.coalesce("r.tcp", F.lit("")).alias("tcp"), "r.speech_text")

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptbook.plans.lineage import cut
+from promptbook.plans.sampling import bounded_sample
 
 #: Trees, bits of a hash string, places looked at on either side of a match at least.
 TREES, BITS, WINDOW = 10, 62, 256
@@ -122,10 +123,10 @@ def _search(dim: int, k: int, least: float, window: int):
 def forest_pairs(units: DataFrame, dim: int, k: int, least: float, trees: int = TREES, window: int = WINDOW, seed: int = 7) -> DataFrame:
     """``(a, b, cosine)``: for each ``id`` of ``units(id, u)`` its ``k`` best by cosine, of ``least`` or more."""
     n = units.count()
-    sample = units.select("u", F.xxhash64("id").alias("o")).orderBy("o").limit(SAMPLE).select("u").collect()  # bounded by SAMPLE
+    sample = bounded_sample(units, "u", SAMPLE)
     if not sample:
         return units.sparkSession.createDataFrame([], "a string, b string, cosine double")
-    x = np.array([r.u for r in sample], dtype=np.float32)
+    x = np.array(sample, dtype=np.float32)
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((trees, BITS, dim)).astype(np.float32)
     cuts = np.stack([np.median(x @ p.T, axis=0) for p in planes])
