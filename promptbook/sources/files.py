@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def rewrite(df: DataFrame, path: str) -> None:
     """Writes a table that may have been read from another path; a table is never overwritten while it is read."""
-    if any(p.rstrip("/").endswith(str(Path(path))) for p in df.inputFiles()):
+    own = "/" + path.split("://")[-1].split(":", 1)[-1].strip("/") + "/"
+    if any(own in f for f in df.inputFiles()):
         raise ValueError(f"{path} is an input of this table; write to a new path")
     df.write.mode("overwrite").parquet(path)
 
