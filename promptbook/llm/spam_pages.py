@@ -22,7 +22,7 @@ LAG = 12
 #: At most this share of function words makes a stretch a list. A content word that makes up this share of its
 #: window (and occurs three times in it) is dense, and a window with this share of dense words is stuffed.
 LIST_SHARE, DENSE_TERM, DENSE_SHARE = 0.12, 0.19, 0.16
-#: Short segments are judged with the words around them.
+#: Shorter segments are judged with the words around them; fewer words make no list.
 SHORT = 6
 
 #: Function words of English (older spellings included), French, German, Latin, Spanish and Italian: fixed values.
@@ -108,7 +108,7 @@ def _judge(texts: list[str], words: _Words) -> tuple[np.ndarray, ...]:
 
     wide_lo, wide_hi = np.maximum(at - LAG, doc_lo), np.minimum(at + LAG + 1, doc_hi)
     function = kind == _Words.FUNCTION
-    in_list = within(function, lo, hi) <= LIST_SHARE * (hi - lo)
+    in_list = (within(function, lo, hi) <= LIST_SHARE * (hi - lo)) & (hi - lo >= SHORT)
     # gaps between equal content words: positions sorted by document and term
     content = np.flatnonzero(kind == _Words.CONTENT)
     dense = np.zeros(n, bool)

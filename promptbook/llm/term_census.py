@@ -28,8 +28,8 @@ BUDGET_ROWS = 2_000_000
 MAP_ROWS = 2_000
 
 SPLITS = {
-    "words": f"SELECT r, unnest(regexp_extract_all(lower(t), '{RUN}')) AS term FROM batch",
-    "entries": r"SELECT r, lower(regexp_replace(regexp_replace(e, '^[\s\x1c-\x1f\x{85}\p{Z}]+', ''), '[\s\x1c-\x1f\x{85}\p{Z}]+$', '')) AS term FROM (SELECT r, unnest(string_split(t, ',')) AS e FROM batch)",
+    "words": f"SELECT r, unnest(regexp_extract_all(t, '{RUN}')) AS term FROM batch",
+    "entries": r"SELECT r, (regexp_replace(regexp_replace(e, '^[\s\x1c-\x1f\x{85}\p{Z}]+', ''), '[\s\x1c-\x1f\x{85}\p{Z}]+$', '')) AS term FROM (SELECT r, unnest(string_split(t, ',')) AS e FROM batch)",
 }
 KEEP = {"words": f"regexp_full_match(term, '{WORD}')", "entries": "term <> ''"}
 
@@ -139,7 +139,7 @@ def term_census(fields: dict[str, tuple[DataFrame, str]], budget_rows: int = BUD
     """
     counts = None
     for field, (df, kind) in fields.items():
-        text = df.select(df.columns[0]).where(F.col(df.columns[0]).isNotNull())
+        text = df.select(F.lower(df.columns[0]).alias("t")).where("t is not null")  # full case mapping, in the JVM
         part = text.mapInArrow(_count_batches(field, kind), "field string, term string, n bigint, records bigint")
         counts = part if counts is None else counts.unionByName(part)
     hashed = counts.withColumn("h", F.xxhash64("field", "term"))
