@@ -34,14 +34,14 @@ FILTER_BITS = 1 << 25
 BREAKS = "-‐⸗=¬­"
 MISSING = "•"
 #: Letters that scans take for others, as (read, printed): fixed values.
-MISREAD = frozenset([("c", "e"), ("e", "c"), ("1", "l"), ("l", "1"), ("0", "o"), ("l", "t"), ("t", "l"), ("u", "n"), ("n", "u"), ("b", "h"), ("h", "b"), ("q", "g"), ("f", "s"), ("rn", "m"), ("m", "rn"), ("li", "h"), ("cl", "d"), ("ii", "n"), ("i", "l"), ("l", "i"), ("1", "i"), ("5", "s"), ("8", "b"), ("vv", "w")])
+MISREAD = frozenset([("c", "e"), ("e", "c"), ("1", "l"), ("l", "1"), ("0", "o"), ("l", "t"), ("t", "l"), ("u", "n"), ("n", "u"), ("b", "h"), ("h", "b"), ("q", "g"), ("f", "s"), ("rn", "m"), ("m", "rn"), ("li", "h"), ("h", "li"), ("cl", "d"), ("d", "cl"), ("ii", "n"), ("i", "l"), ("l", "i"), ("1", "i"), ("5", "s"), ("8", "b"), ("vv", "w")])
 
 _WORD = re.compile(rf"[\w{MISSING}]+(?:-[\w{MISSING}]+)*")
 _ROMAN = r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _LEAF = r"(?:Page|Pag\.|pag\.|[Ff]ol\.|[Ff]olio)\s*\d{1,4}\.?"
 _PAGE_LINE = re.compile(rf"\d{{1,4}}\.?|\[\s*\d{{1,4}}\s*\]|[-—–]\s*\d{{1,4}}\s*[-—–]|{_LEAF}|[A-Z]{{1,2}}\d{{1,2}}\.?|{_ROMAN}\.")
 _PAGE_INLINE = re.compile(rf"\[\s*\d{{1,4}}\s*\]|(?<!\S)[-—–]\s*\d{{1,4}}\s*[-—–](?!\S)|(?<!\S){_LEAF}(?!\S)|(?<!\S)[A-Z]{{1,2}}\d{{1,2}}\.?(?!\S)|(?<!\S){_ROMAN}\.(?!\S)|(?<!\S)\d{{1,3}}(?!\S)")
-_SMALL = rf"[a-z0-9{MISSING}]{{1,3}}"  # of, or, the, and the like, well read or not
+_SMALL = rf"(?:[a-z{MISSING}][a-z0-9{MISSING}]{{0,2}}|[0-9][a-z]{{1,2}})"  # of, or, the, and the like, well read or not
 _CAP = rf"[A-Z][\w{MISSING}'\-]*"
 #: A run of words in capitals or with initial capitals, as titles are printed, in a text without line ends.
 _TITLE_INLINE = re.compile(rf"(?<!\S){_CAP}(?:,?\s+(?:{_SMALL}\s+)*{_CAP})+[.,]?(?!\w)")
@@ -194,7 +194,7 @@ def read_page(text: str, known, lines: list[str], furniture: dict[int, float]) -
         if m.start() < at:
             continue
         left, right = _LAST.search(whole[at : m.start()]), _WORD.match(whole, m.end())
-        if left and right:
+        if left and right and not (right.group()[0].isupper() and not left.group().isupper()):  # before a capital the mark is a stop
             halves.add((plain(left.group()), plain(right.group())))
             kept += [whole[at : at + left.start()], "\x01"]
             at = right.end()
@@ -493,10 +493,10 @@ def find_repairs(pages: DataFrame, clean: DataFrame, metadata: DataFrame) -> Dat
     found = cut(once.mapInArrow(_read_rows(shared, line_model), f"row_id {kind}, tcp string, kind string, piece string, a string, b string"))
 
     page_no = found.where("kind = 'page_no'").select("row_id", "kind", "piece")
-    # running titles: by the play's title, or, where the metadata lack it, by the commonest such line of its pages
+    # running titles: by the play's title, or, where the metadata lack it, by the commonest such line or run of its pages
     lines = found.where("kind = 'furniture'")
     own = titles.select("tcp", F.col("title"))
-    common = lines.join(own, "tcp", "left_anti").groupBy("tcp", "a").agg(F.count("*").alias("n")).groupBy("tcp").agg(F.max_by("a", F.struct("n", "a")).alias("title"))
+    common = found.where("kind in ('furniture', 'title')").join(own, "tcp", "left_anti").groupBy("tcp", "a").agg(F.count("*").alias("n")).groupBy("tcp").agg(F.max_by("a", F.struct("n", "a")).alias("title"))
     keyed = cut(own.mapInArrow(_title_keys, "tcp string, title string").unionByName(common))
     checked = lines.join(keyed, "tcp", "left").select("row_id", "piece", "a", "title")
     header = checked.mapInArrow(_confirm_lines, f"row_id {kind}, kind string, piece string")
