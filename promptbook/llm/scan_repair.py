@@ -477,10 +477,9 @@ def find_repairs(pages: DataFrame, clean: DataFrame, metadata: DataFrame) -> Dat
     vocabulary = counts.where("next = ''").select("word", "n")
     pairs = counts.where("next <> ''").select("word", "next", "n")
 
-    cells = vocabulary.select("word").mapInArrow(_place_bits, "cell int, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()  # at most FILTER_BITS / 64 rows
+    cells = vocabulary.select("word").mapInArrow(_place_bits, "cell int, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
     bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    if cells:
-        bits[[c.cell for c in cells]] = np.array([c.bits for c in cells], dtype=np.int64).astype(np.uint64)
+    bits[np.asarray(cells["cell"])] = np.asarray(cells["bits"], dtype=np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(bits)  # 4 MB whatever the data
 
     sample = bounded_sample(source.where(F.length("speech_text") < 20_000), "speech_text", SAMPLE_TEXTS)
