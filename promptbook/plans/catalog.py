@@ -127,7 +127,10 @@ def top_word_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cluster_labels").select("cluster", T.top_words(F.col("top_words")).alias("words")).distinct()
 
 
-@query()
+_SLUG = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(character_id, '::', '__'), 'ſ', 's'), '[^\p{L}\p{N}_\-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query(f"WITH s AS (SELECT DISTINCT character_id, {_SLUG} AS slug FROM character_documents WHERE character_id IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY lower(slug) ORDER BY character_id) AS n FROM s) SELECT character_id, CASE WHEN n = 1 THEN slug ELSE slug || '_' || n END AS slug FROM n")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
     return reports.unique_slugs(_docs(spark, d).select("character_id")).select("character_id", "slug")
 
@@ -313,7 +316,7 @@ def author_tags_topn(spark: SparkSession, d: str) -> DataFrame:
     return facets.author_tags(facets.author_histogram(_members(spark, d)))
 
 
-_DECADE_ORDER = "(lower(decade) = 'unknown'), CASE WHEN regexp_full_match(regexp_replace(decade, 's+$', ''), '[0-9]+') THEN regexp_replace(decade, 's+$', '')::BIGINT ELSE 1000000000 END, decade"
+_DECADE_ORDER = "(lower(decade) = 'unknown'), CASE WHEN regexp_full_match(regexp_replace(decade, 's+$', ''), '[0-9]{1,9}') THEN regexp_replace(decade, 's+$', '')::BIGINT ELSE 1000000000 END, decade"
 
 
 @query(f"WITH {_MEMBERS_SQL}, h AS (SELECT cluster, coalesce(date_decade, 'Unknown') AS decade, count(*) AS n FROM m GROUP BY 1, 2) SELECT cluster, decade, n, greatest(1, round_even(220.0 * n / max(n) OVER (PARTITION BY cluster), 0)::INT) AS width, row_number() OVER (PARTITION BY cluster ORDER BY {_DECADE_ORDER}) AS place FROM h")
@@ -329,7 +332,7 @@ def year_stats(spark: SparkSession, d: str) -> DataFrame:
 _AXES_SQL = " UNION ".join(f"SELECT '{n}' AS axis, {'1' if c == 'date_decade' else '0'} AS dated, {c} AS decade FROM m" for c, n in facets.AXES)
 
 
-@query(f"WITH {_MEMBERS_SQL}, v AS ({_AXES_SQL}), k AS (SELECT * FROM v WHERE decade IS NOT NULL AND {_strip('decade')} <> '' AND lower(decade) <> 'unknown') SELECT axis, decade AS value, row_number() OVER (PARTITION BY axis ORDER BY CASE WHEN dated = 1 AND regexp_full_match(regexp_replace(decade, 's+$', ''), '[0-9]+') THEN regexp_replace(decade, 's+$', '')::BIGINT WHEN dated = 1 THEN 1000000000 END, decade) AS place FROM k")
+@query(f"WITH {_MEMBERS_SQL}, v AS ({_AXES_SQL}), k AS (SELECT * FROM v WHERE decade IS NOT NULL AND {_strip('decade')} <> '' AND lower(decade) <> 'unknown') SELECT axis, decade AS value, row_number() OVER (PARTITION BY axis ORDER BY CASE WHEN dated = 1 AND regexp_full_match(regexp_replace(decade, 's+$', ''), '[0-9]{{1,9}}') THEN regexp_replace(decade, 's+$', '')::BIGINT WHEN dated = 1 THEN 1000000000 END, decade) AS place FROM k")
 def facet_values(spark: SparkSession, d: str) -> DataFrame:
     return facets.facet_values(_members(spark, d))
 
@@ -458,7 +461,7 @@ def embed_text(spark: SparkSession, d: str) -> DataFrame:
     return embedding.embed(_texts(spark, d), "character_id", "speech_text")
 
 
-@query()
+@query(f"WITH {_TEXTS_SQL} SELECT 'hashing' AS model, 64 AS dim, count(*) AS n_rows, {config.EMBED_MAX_TOKENS} AS max_tokens, count(*) FILTER ({_words('speech_text')} + {len(config.EMBED_INSTRUCTION.split()) + 2} > {config.EMBED_MAX_TOKENS}) AS truncated_count, '{config.EMBED_INSTRUCTION}' AS instruction FROM texts")
 def embed_metadata(spark: SparkSession, d: str) -> DataFrame:
     return embedding.run_metadata(embed_text(spark, d), "hashing", 64)
 
@@ -491,16 +494,19 @@ def cluster_pages(spark: SparkSession, d: str) -> DataFrame:
     return reports.cluster_pages(_shown_rows(spark, d))
 
 
-@query()
+_STATS_SQL = "SELECT cluster, count(*) AS n, count(DISTINCT tcp) AS n_plays, min(year) AS first_year, max(year) AS last_year, trunc(median(year))::INT AS median_year, coalesce(min(topic_label), 'Cluster ' || cluster) AS label FROM m WHERE cluster <> -1 GROUP BY 1"
+
+
+@query(f"WITH {_MEMBERS_SQL}, s AS ({_STATS_SQL}), w AS (SELECT cluster, max(top_words) AS top_words FROM cluster_labels GROUP BY 1), h AS (SELECT cluster, {_AUTHOR} AS author, count(*) AS n FROM m WHERE cluster <> -1 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, author) AS r FROM h), t AS (SELECT cluster, string_agg(concat_ws(' ', CASE WHEN {_strip('author')} = '' THEN '(unknown)' ELSE author END, n::VARCHAR), '; ' ORDER BY r) AS authors FROM r WHERE r <= 6 GROUP BY 1) SELECT s.cluster, label, coalesce(w.top_words, '') AS top_words, n, n_plays, first_year, last_year, median_year, authors FROM s LEFT JOIN w USING (cluster) LEFT JOIN t USING (cluster)")
 def master_index(spark: SparkSession, d: str) -> DataFrame:
     return reports.index_cards(_members(spark, d), table(spark, d, "cluster_labels"))
 
 
-@query()
+@query(f"WITH {_MEMBERS_SQL}, s AS ({_STATS_SQL}) SELECT 'index.html' AS path, '<!doctype html><html><head><meta charset=\"utf-8\"><title>Clusters</title></head><body><ul>' || string_agg('<li><a href=\"cluster_' || (CASE WHEN cluster BETWEEN 0 AND 9 THEN '0' ELSE '' END || cluster) || '.html\">' || {_escape('label')} || '</a> ' || n || ' characters</li>', '' ORDER BY cluster) || '</ul></body></html>' AS html FROM s")
 def index_page(spark: SparkSession, d: str) -> DataFrame:
     return reports.index_page(master_index(spark, d))
 
 
-@query()
+@query(f"WITH {_MEMBERS_SQL}, f AS (SELECT *, coalesce(topic_label, '-1: outliers') AS shown FROM m WHERE cluster <> -1), l AS (SELECT DISTINCT shown FROM f), p AS (SELECT shown, row_number() OVER (ORDER BY coalesce(try_cast({_strip('string_split(shown, ' + chr(39) + ':' + chr(39) + ')[1]')} AS BIGINT), 1000000000), shown) - 1 AS place FROM l) SELECT character_id, x, y, CASE WHEN shown = '-1: outliers' THEN 'lightgrey' ELSE {_PALETTE_SQL}[place % {len(facets.PALETTE)} + 1] END AS colour, concat_ws('<br>', {_HOVER}) AS hover FROM f JOIN p USING (shown)")
 def figure_points(spark: SparkSession, d: str) -> DataFrame:
     return reports.figure_points(_members(spark, d))
