@@ -67,6 +67,7 @@ counts AS (SELECT 'speech_text' AS field, term, count(*) AS n_total, count(DISTI
 marked AS (SELECT *, 'rare' AS mark FROM counts WHERE n_records <= 2 UNION ALL SELECT *, 'common' FROM counts WHERE n_records * 100 > total * 56)
 """
 SQL["p2_found"] = _CENSUS + "SELECT field, term, mark FROM marked"
+SQL["p2_census"] = _CENSUS + "SELECT c.*, m.mark FROM counts c LEFT JOIN (SELECT field, term, mark FROM marked) m USING (field, term)"
 
 
 @query
@@ -135,14 +136,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-SQL["p5_found"] = """
+_NEAREST = """
 WITH v AS (SELECT character_id AS id, max(embedding) AS e FROM character_vectors WHERE len(embedding) = (SELECT max(dim) FROM embeddings_metadata)
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
 u AS (SELECT id, list_transform(e, lambda x: x::DOUBLE) AS e FROM v),
 c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.id <> b.id),
 best AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM c WHERE s >= 0.85) WHERE r <= 5)
-SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best
 """
+SQL["p5_found"] = _NEAREST + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best"
 
 
 @query
