@@ -207,29 +207,23 @@ def read_page(text: str, known, lines: list[str], furniture: dict[int, float]) -
     return out
 
 
-def _grams(word: str) -> list[tuple[int, str]]:
-    q = 2 if len(word) <= 5 else 3
-    p = f"^{word}$"
-    return [(i, p[i : i + q]) for i in range(len(p) - q + 1)]
+def _ends(kind: str, n: int, q: int, word: str) -> list[str]:
+    """Keys of the first and the last q-gram of a word, for words of ``n`` letters."""
+    return [f"{kind}{n}s{word[:q]}", f"{kind}{n}e{word[len(word) - q :]}"] if 0 < q <= len(word) else []
 
 
 def index_keys(word: str) -> list[str]:
-    """Keys of a known word: its q-grams with their places from the start and from the end, and its length."""
-    g = _grams(word)
-    return [f"{len(word)}s{i}{x}" for i, x in g] + [f"{len(word)}e{len(g) - i}{x}" for i, x in g]
+    """Keys of a known word: the q-grams at its two ends, of half its length. One misreading leaves one of them whole;
+    where it changes the length it may take two letters, so the grams leave a letter between them then."""
+    n = len(word)
+    return _ends("=", n, n // 2, word) + _ends("~", n, max(1, (n - 1) // 2), word)
 
 
 def probe_keys(word: str) -> list[str]:
     """Keys under which words one misreading away from ``word`` are found; q-grams with an illegible letter are left out."""
-    keys = []
-    for n in (len(word) - 1, len(word), len(word) + 1):
-        q = 2 if n <= 5 else 3
-        p = f"^{word}$"
-        g = [(i, p[i : i + q]) for i in range(len(p) - q + 1)]
-        keys += [f"{n}s{i}{x}" for i, x in g if MISSING not in x]
-        if n != len(word):
-            keys += [f"{n}e{len(g) - i}{x}" for i, x in g if MISSING not in x]
-    return keys
+    n = len(word)
+    keys = _ends("=", n, n // 2, word) + [k for m in (n - 1, n + 1) for k in _ends("~", m, max(1, (m - 1) // 2), word) if m > 1]
+    return [k for k in keys if MISSING not in k]
 
 
 def misreading(read: str, printed: str) -> tuple[str, str, int] | None:

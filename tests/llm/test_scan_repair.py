@@ -70,11 +70,12 @@ def test_compounds_and_title_spans():
 
 
 def test_index_finds_every_single_misreading():
-    for word in ("of", "the", "captaine", "pilgrim"):
+    for word in ("of", "the", "clad", "captaine", "pilgrim"):
         for i in range(len(word)):
             form = word[:i] + s.MISSING + word[i + 1 :]
             assert set(s.probe_keys(form)) & set(s.index_keys(word)), form
-    assert set(s.probe_keys("pilgrirn")) & set(s.index_keys("pilgrim"))
+    for read, printed in (("pilgrirn", "pilgrim"), ("rnartial", "martial"), ("cornet", "comet"), ("dad", "clad"), ("proda", "procla"), ("orade", "oracle"), ("lirnb", "limb")):
+        assert s.misreading(read, printed) and set(s.probe_keys(read)) & set(s.index_keys(printed)), read
 
 
 def test_boosting_learns_and_is_deterministic():
