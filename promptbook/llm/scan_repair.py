@@ -85,17 +85,29 @@ def likeness(a: str, b: str) -> float:
     return max(i, j, k + tail) / n
 
 
-def line_features(lines: list[str], i: int, known) -> list[float]:
+def around(lines: list[str]) -> tuple[int, list[str], list[str]]:
+    """The usual length of the lines, and for each line the nearest lines before and after it that are not blank."""
+    sizes = sorted(len(x) for x in lines if x)
+    before, after = [""] * len(lines), [""] * len(lines)
+    last = ""
+    for i, x in enumerate(lines):
+        before[i] = last
+        last = x or last
+    last = ""
+    for i in range(len(lines) - 1, -1, -1):
+        after[i] = last
+        last = lines[i] or last
+    return (sizes[len(sizes) // 2] if sizes else 1), before, after
+
+
+def line_features(lines: list[str], i: int, known, near: tuple[int, list[str], list[str]]) -> list[float]:
     """A line with the lines around it: what tells page furniture from speech."""
     line = lines[i]
     parts = line.split()
     alpha = [p for p in parts if any(c.isalpha() for c in p)]
     longer = [p for p in alpha if sum(c.isalpha() for c in p) > 3]
     caps = sum(p.lstrip("([\"'")[:1].isupper() for p in longer) / len(longer) if longer else float(bool(alpha) and alpha[0][:1].isupper())
-    before = next((x for x in reversed(lines[:i]) if x), "")
-    after = next((x for x in lines[i + 1 :] if x), "")
-    sizes = sorted(len(x) for x in lines if x)
-    usual = sizes[len(sizes) // 2] if sizes else 1
+    usual, before, after = near[0], near[1][i], near[2][i]
     middle = [w for w in _WORD.findall(line) if not w.isdigit()]
     return [
         caps,
@@ -143,7 +155,8 @@ def page_lines(text: str, known) -> tuple[list[str], list[int], list[list[float]
     if len(lines) == 1:
         return lines, [], []
     suspects = [i for i, x in enumerate(lines) if x and (len(x) < 10 or _ANY_DIGIT.search(x) or len(_CAPITAL.findall(x)) * 2 >= x.count(" ") + 1)]
-    return lines, suspects, [line_features(lines, i, known) for i in suspects]
+    near = around(lines) if suspects else None
+    return lines, suspects, [line_features(lines, i, known, near) for i in suspects]
 
 
 def read_page(text: str, known, lines: list[str], furniture: dict[int, float]) -> list[tuple[str, str, str, str]]:
@@ -177,17 +190,24 @@ def read_page(text: str, known, lines: list[str], furniture: dict[int, float]) -
             if len(key) > 6:
                 out.append(("title", squeeze(raw[a:e]), key, ""))
                 spans.append((a, e))
+        titles, k = spans, 0
+        spans = list(titles)
         for m in _PAGE_INLINE.finditer(raw):
             a, e = m.span()
-            if any(a < y and x < e for x, y in spans):
+            while k < len(titles) and titles[k][1] <= a:
+                k += 1
+            if k < len(titles) and titles[k][0] < e:
                 continue
             if m.group().isdigit() and re.search(r"\b(?:year|yeare|anno)\s*$", raw[max(0, a - 8) : a], re.I):
                 continue
             out.append(("page_no", squeeze(m.group()), "", ""))
             spans.append((a, e))
-        for a, e in sorted(spans, reverse=True):
-            raw = raw[:a].rstrip() + " " + raw[e:].lstrip()
-        whole, broken = raw, _BREAK_INLINE
+        rest, at = [], 0
+        for a, e in sorted(spans):
+            rest.append(raw[at:a].strip())
+            at = max(at, e)
+        rest.append(raw[at:].strip())
+        whole, broken = " ".join(rest), _BREAK_INLINE
     halves: set[tuple[str, str]] = set()
     kept, at = [], 0
     for m in broken.finditer(whole):
@@ -331,9 +351,10 @@ def fit_models(texts: list[str], titles: list[str], seed: int = 5):
     known = words.__contains__
     for k, t in enumerate(texts):
         lines, flags, breaks = typeset(t, titles[k % len(titles)], rng)
+        near = around(lines)
         for i, f in enumerate(flags):
             if f or rng.random() < 0.15:
-                line_x.append(line_features(lines, i, known))
+                line_x.append(line_features(lines, i, known, near))
                 line_y.append(f)
         for a, b, y in breaks:
             join_x.append(join_features(words.get(a + b, 0), words.get(f"{a}-{b}", 0), words.get(a, 0), words.get(b, 0)))
