@@ -127,6 +127,19 @@ def top_word_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cluster_labels").select("cluster", T.top_words(F.col("top_words")).alias("words")).distinct()
 
 
+_ROLE = r"\b[A-Za-z]*[A-Z]{3,}[A-Za-z''.\-]*(?:\s+[A-Za-z]*[A-Z]{3,}[A-Za-z''.\-]*)*\b"
+_DESCRIPTION = _strip(f"ltrim({_strip('part')}, ',;')")
+
+
+def _roles_sql(rows: str) -> str:
+    """CTEs down to ``roles_read(tcp, role_pos, name, description)`` from ``rows``, a query of (tcp, roles)."""
+    return f"""given AS ({rows}), cut AS (SELECT tcp, roles, regexp_extract_all(roles, '{_ROLE}') AS names, regexp_split_to_array(roles, '{_ROLE}') AS parts FROM given WHERE roles IS NOT NULL),
+numbered AS (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM cut),
+single AS (SELECT tcp, roles, i, {_strip('names[i]')} AS name, parts[i + 1] AS part FROM numbered),
+real AS (SELECT tcp, roles, i, name, {_DESCRIPTION} AS d FROM single WHERE NOT regexp_full_match(replace(name, ' ', ''), '[IVXLCM]+') AND replace(name, ' ', '') NOT IN ('ACT', 'SCENE', 'PAGE')),
+roles_read AS (SELECT tcp, row_number() OVER (PARTITION BY tcp, roles ORDER BY i) - 1 AS role_pos, name, CASE WHEN length(d) <= 400 THEN d ELSE regexp_replace(left(d, 400), ' [^ ]*$', '') || '…' END AS description FROM real)"""
+
+
 _SLUG = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(character_id, '::', '__'), 'ſ', 's'), '[^\p{L}\p{N}_\-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
 
 
@@ -135,7 +148,7 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return reports.unique_slugs(_docs(spark, d).select("character_id")).select("character_id", "slug")
 
 
-@query()
+@query(f"WITH {_roles_sql('SELECT DISTINCT tcp, roles FROM catalogue')} SELECT DISTINCT tcp, role_pos, name, description FROM roles_read")
 def roles_parsed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "catalogue").select("tcp", "roles").distinct()
     return rows.select("tcp", F.posexplode(parse_roles("roles")).alias("role_pos", "r")).select("tcp", "role_pos", "r.name", "r.description").distinct()
@@ -185,31 +198,76 @@ def dedup_first(spark: SparkSession, d: str) -> DataFrame:
     return characters.first_by(table(spark, d, "catalogue").select("tcp", "roles").where("tcp is not null"), "tcp", "roles")
 
 
-@query()
+_FIRST_ROLES = "SELECT tcp, roles FROM (SELECT tcp, roles, row_number() OVER (PARTITION BY tcp ORDER BY roles NULLS FIRST) AS r FROM catalogue WHERE tcp IS NOT NULL) WHERE r = 1"
+_LCS = """list_reduce(list_transform(string_split(sa, ''), lambda c: list_transform(string_split(sb, ''), lambda e: (c = e)::BIGINT)),
+    lambda row, m: list_transform(range(1, len(m) + 1), lambda j: greatest(row[j], list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k = 1 THEN 0 ELSE row[k - 1] END + m[k])))),
+    list_transform(string_split(sb, ''), lambda e: 0::BIGINT))[-1]"""
+_RAW_PREFIXES = f"SELECT DISTINCT tcp, {_NORM('raw')} AS norm FROM (SELECT DISTINCT tcp, unnest(string_split(raw_names, ' | ')) AS raw FROM character_table WHERE tcp IS NOT NULL) WHERE {_NORM('raw')} <> ''"
+
+
+def _ratio_sql(prefixes: str) -> str:
+    """CTEs down to ``ratios``, the set-of-words ratio of every normalised prefix with every role of its play (longest
+    common subsequences row by row), and ``best``, the best role of each prefix."""
+    return f"""{_roles_sql(_FIRST_ROLES)},
+roles_norm AS (SELECT tcp, role_pos, name AS role, description, {_NORM('name')} AS role_norm FROM roles_read),
+prefixes AS ({prefixes}),
+pairs AS (SELECT DISTINCT norm, role_norm, list_distinct(string_split(norm, ' ')) AS x, list_distinct(string_split(role_norm, ' ')) AS y FROM prefixes JOIN roles_norm USING (tcp)),
+sets AS (SELECT *, list_filter(x, lambda t: list_contains(y, t)) AS shared, list_filter(x, lambda t: NOT list_contains(y, t)) AS ox, list_filter(y, lambda t: NOT list_contains(x, t)) AS oy FROM pairs),
+joined AS (SELECT *, array_to_string(list_sort(ox), ' ') AS sa, array_to_string(list_sort(oy), ' ') AS sb, length(array_to_string(shared, ' ')) AS l, (len(shared) > 0)::INT AS gap FROM sets),
+common AS (SELECT sa, sb, {_LCS} AS lcs FROM (SELECT DISTINCT sa, sb FROM joined WHERE sa <> '' AND sb <> '')),
+ratios AS (SELECT norm, role_norm, CASE WHEN role_norm = '' THEN 0.0::DOUBLE WHEN gap = 1 AND (sa = '' OR sb = '') THEN 100.0::DOUBLE
+    WHEN gap = 0 THEN 100 * (1 - (length(sa) + length(sb) - 2 * lcs)::DOUBLE / (length(sa) + length(sb)))
+    ELSE greatest(100 * (1 - (length(sa) + length(sb) - 2 * lcs)::DOUBLE / (2 * l + 2 + length(sa) + length(sb))), 100 * (1 - (1 + length(sa))::DOUBLE / (2 * l + 1 + length(sa))), 100 * (1 - (1 + length(sb))::DOUBLE / (2 * l + 1 + length(sb)))) END AS score
+    FROM joined LEFT JOIN common USING (sa, sb)),
+ranked AS (SELECT tcp, norm, role, description, floor(score)::INT AS score, row_number() OVER (PARTITION BY tcp, norm ORDER BY floor(score) DESC, role_pos) AS r FROM prefixes JOIN roles_norm USING (tcp) JOIN ratios USING (norm, role_norm)),
+best AS (SELECT tcp, norm, role, description, score FROM ranked WHERE r = 1)"""
+
+
+_RATIO_SQL = _ratio_sql(_RAW_PREFIXES)
+
+@query(f"WITH {_RATIO_SQL} SELECT DISTINCT tcp, norm, role_norm, round(score, 6) AS score FROM prefixes JOIN roles_norm USING (tcp) JOIN ratios USING (norm, role_norm)")
 def token_set_ratio(spark: SparkSession, d: str) -> DataFrame:
     names = _raw_names(spark, d).select("tcp", T.normalize_for_match(F.col("raw")).alias("norm")).where("norm <> ''").distinct()
     pairs = names.join(characters.listed_roles(table(spark, d, "catalogue")), "tcp")
     return pairs.select("tcp", "norm", "role_norm", F.round(ratio("norm", "role_norm"), 6).alias("score")).distinct()
 
 
-@query()
+@query(f"WITH {_RATIO_SQL} SELECT * FROM best")
 def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
     names = _raw_names(spark, d).select("tcp", T.normalize_for_match(F.col("raw")).alias("norm")).where("norm <> ''")
     return characters.best_matches(names, characters.listed_roles(table(spark, d, "catalogue")))
 
 
-@query()
+def _resolved_sql(speeches: str) -> str:
+    """CTEs down to ``rolled``, one row per play and resolved name of ``speeches``, a query of (tcp, pos, prefix, text)."""
+    return f"""{_SPEECH_SQL}, said AS ({speeches}), named AS (SELECT *, norm IN ({_GENERIC}) AS crowd FROM (SELECT tcp, pos, prefix, text, {_NORM('prefix')} AS norm FROM said) WHERE norm <> ''),
+{_ratio_sql("SELECT DISTINCT tcp, norm FROM named WHERE NOT crowd")},
+scored AS (SELECT named.*, CASE WHEN crowd THEN 100 ELSE coalesce(score, 0) END AS match_score, role, description FROM named LEFT JOIN best USING (tcp, norm)),
+resolved AS (SELECT *, CASE WHEN crowd THEN '{config.CROWD}' WHEN match_score >= {config.AUTO_MERGE} THEN role ELSE prefix END AS normalized_name, CASE WHEN NOT crowd AND match_score >= {config.REVIEW} THEN coalesce(description, '') ELSE '' END AS about FROM scored),
+rolled AS (SELECT tcp, normalized_name, string_agg(DISTINCT prefix, ' | ' ORDER BY prefix) AS raw_names, first(about ORDER BY length(about) DESC, pos) AS role_description, first(match_score ORDER BY pos) AS match_score, {_clean("string_agg(text, ' ' ORDER BY pos)")} AS speech_text FROM resolved GROUP BY 1, 2)"""
+
+
+_COUNTS_SQL = f"length(speech_text) AS n_chars, {_words('speech_text')} AS n_words"
+
+
+@query(f"WITH {_resolved_sql('SELECT * FROM sp')} SELECT * EXCLUDE (speech_text), {_COUNTS_SQL} FROM rolled")
 def resolved_characters(spark: SparkSession, d: str) -> DataFrame:
     resolved = characters.resolve(_speeches(spark, d), table(spark, d, "catalogue"))
     return characters.rollup(resolved).drop("speech_text")
 
 
-@query()
+@query(f"WITH {_resolved_sql('SELECT * FROM sp')} SELECT DISTINCT tcp, prefix AS raw_name, role AS suggested_match, match_score AS score FROM resolved WHERE NOT crowd AND match_score BETWEEN {config.REVIEW} AND {config.AUTO_MERGE - 1}")
 def name_review(spark: SparkSession, d: str) -> DataFrame:
     return characters.review_rows(characters.resolve(_speeches(spark, d), table(spark, d, "catalogue")))
 
 
-@query()
+_META_ROW = "brit_drama_number title author year date_decade date_first_performance genre play_type theater theater_type company plot".split()
+_ONE_PLAY = f"play AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY tcp ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in _META_ROW)}) AS r FROM metadata WHERE tcp IS NOT NULL) WHERE r = 1)"
+_FLAT = ", ".join(f"{_collapse(c)} AS {c}" for c in [*documents.DESCRIPTIVE, "plot"])
+_KNOWN_SPEECHES = "SELECT * FROM sp WHERE tcp IN (SELECT tcp FROM catalogue WHERE tcp IS NOT NULL)"
+
+
+@query(f"WITH {_resolved_sql(_KNOWN_SPEECHES)}, {_ONE_PLAY}, named_docs AS (SELECT *, CASE WHEN normalized_name = '{config.CROWD}' THEN '[crowd]' ELSE {_strip('upper(normalized_name)')} END AS display_name FROM rolled WHERE length(speech_text) >= {config.MIN_SPEECH_CHARS} AND normalized_name <> '{config.CROWD}') SELECT tcp || '::' || display_name AS character_id, named_docs.*, {_COUNTS_SQL}, brit_drama_number, year, {_FLAT} FROM named_docs LEFT JOIN play USING (tcp)")
 def play_documents(spark: SparkSession, d: str) -> DataFrame:
     built, _, _ = pipeline.speeches_to_documents(_speeches(spark, d), table(spark, d, "catalogue"), table(spark, d, "metadata"))
     return built
