@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptbook.llm.boosting import Boosted
-from promptbook.plans.lineage import cut
+from promptbook.plans.lineage import cut, cut_table
 from promptbook.plans.sampling import bounded_sample
 
 #: Clean texts from which the classifiers are fitted, at most, and words that stand for the vocabulary meanwhile.
@@ -488,7 +488,7 @@ def find_repairs(pages: DataFrame, clean: DataFrame, metadata: DataFrame) -> Dat
     """
     spark = pages.sparkSession
     source = clean.where("speech_text is not null").select("speech_text")
-    counts = cut(source.mapInArrow(_count_words, "word string, next string, n bigint").groupBy("word", "next").agg(F.sum("n").alias("n")))
+    counts = cut_table(source.mapInArrow(_count_words, "word string, next string, n bigint").groupBy("word", "next").agg(F.sum("n").alias("n")))
     vocabulary = counts.where("next = ''").select("word", "n")
     pairs = counts.where("next <> ''").select("word", "next", "n")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptbook.plans.lineage import cut
+from promptbook.plans.lineage import cut_table
 
 #: A whole run of letters, digits and underscores that consists of three or more letters a-z only.
 TERM = r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"
@@ -28,7 +28,7 @@ def log_entropy(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     and the weight 1; an empty table gives no rows.
     """
     records = records.where(F.col(text_col).isNotNull())
-    tf = cut(local_counts(records, id_col, text_col))
+    tf = cut_table(local_counts(records, id_col, text_col))
     n = records.agg(F.count("*").alias("n_all"))
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.log(F.col("tf").cast("double"))).alias("tl"))
     entropy = F.log(F.col("gf").cast("double")) - F.col("tl") / F.col("gf")

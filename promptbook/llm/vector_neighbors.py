@@ -140,7 +140,7 @@ def forest_pairs(units: DataFrame, dim: int, k: int, least: float, trees: int =
     hashed = units.mapInArrow(_hash_batches(dim, planes, cuts, borders), "part int, h bigint, id string, u binary")
     arrays = hashed.repartitionById(trees * per_tree, "part").sortWithinPartitions("part", "h", "id")
     found = arrays.mapInArrow(_search(dim, k, least, window), "a string, b string, cosine double")
-    found = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    found = found.repartition("a").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))  # one shuffle for this and the ranking
     best = found.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b")))
     return best.where(F.col("r") <= k).select("a", "b", "cosine")
 
