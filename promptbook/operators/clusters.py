@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 from promptbook.functions.text import STOPWORDS, TERM, label_for
 
 
+#: Types that an aggregate can update in place, so that it hashes instead of sorting.
+_FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}
+
+
 def latest(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
-    """The latest row of each key; late and repeated rows give way to it."""
+    """The latest row of each key; late and repeated rows give way to it. Select the columns needed before."""
     rest = [c for c in df.columns if c not in (key, order)]
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(order, *rest)).alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in [order, *rest]])
+    rows = df.where(F.col(key).isNotNull()).groupBy(key)
+    kinds = dict(df.dtypes)
+    if all(kinds[c] in _FIXED_WIDTH for c in rest):
+        return rows.agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest])
+    return rows.agg(F.max(F.struct(order, *rest)).alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in [order, *rest]])
 
 
 def summary(rows: DataFrame, preset: str) -> DataFrame:

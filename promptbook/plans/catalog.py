@@ -35,8 +35,10 @@ def query(sql: str | None = None):
 DOC = "character_id tcp brit_drama_number display_name normalized_name raw_names title author year date_decade date_first_performance genre play_type theater theater_type company role_description match_score n_chars n_words".split()
 
 
-def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return table(spark, d, "character_documents").where("character_id is not null").select(*DOC, *more).distinct()
+def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Characters without repeated rows, with the columns asked for (all but the text by default)."""
+    wanted = dict.fromkeys(["character_id", *(columns or DOC)])
+    return table(spark, d, "character_documents").where("character_id is not null").select(*wanted).distinct()
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -44,13 +46,15 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("character_id").agg(F.max("speech_text").alias("speech_text"))
 
 
-def _xy(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.latest(table(spark, d, "cluster_xy").select("character_id", "loaded_at", "tcp", "normalized_name", "n_chars", "x", "y", "cluster", "topic_label", "top_words"), "character_id")
+def _xy(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Map positions, each character at its latest load, with just the columns asked for."""
+    return clusters.latest(table(spark, d, "cluster_xy").select("character_id", "loaded_at", *columns), "character_id")
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
-    place = _xy(spark, d).select("character_id", "x", "y", "cluster", "topic_label", "top_words").where("cluster is not null")
-    return _docs(spark, d).join(place, "character_id")
+def _members(spark: SparkSession, d: str, *columns: str, place: tuple[str, ...] = ("x", "y", "cluster", "topic_label", "top_words")) -> DataFrame:
+    """Characters with the columns asked for and what ``place`` names of their map position."""
+    at = _xy(spark, d, *place).drop("loaded_at").where("cluster is not null")
+    return _docs(spark, d, *columns).join(at, "character_id")
 
 
 def _speeches(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +123,7 @@ _shown = lambda c: f"CASE WHEN {_strip(c)} <> '' THEN {_escape(c)} END"  # noqa:
 @query(f"WITH {_DOCS_SQL} SELECT character_id, concat_ws(' · ', {_shown('author')}, year::VARCHAR, {_shown('genre')}, {_shown('company')}, {_shown('theater')}) AS meta FROM docs")
 def meta_line(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    return _docs(spark, d).select("character_id", T.meta_line(c("author"), c("year"), c("genre"), c("company"), c("theater")).alias("meta"))
+    return _docs(spark, d, "author", "year", "genre", "company", "theater").select("character_id", T.meta_line(c("author"), c("year"), c("genre"), c("company"), c("theater")).alias("meta"))
 
 
 @query(f"SELECT DISTINCT cluster, list_transform(list_filter(list_transform(string_split(coalesce(top_words, ''), ','), lambda x: {_strip('x')}), lambda x: x <> ''), lambda x: x) AS words FROM cluster_labels")
@@ -145,7 +149,7 @@ _SLUG = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(character
 
 @query(f"WITH s AS (SELECT DISTINCT character_id, {_SLUG} AS slug FROM character_documents WHERE character_id IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY lower(slug) ORDER BY character_id) AS n FROM s) SELECT character_id, CASE WHEN n = 1 THEN slug ELSE slug || '_' || n END AS slug FROM n")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    return reports.unique_slugs(_docs(spark, d).select("character_id")).select("character_id", "slug")
+    return reports.unique_slugs(_docs(spark, d, "character_id")).select("character_id", "slug")
 
 
 @query(f"WITH {_roles_sql('SELECT DISTINCT tcp, roles FROM catalogue')} SELECT DISTINCT tcp, role_pos, name, description FROM roles_read")
@@ -280,7 +284,7 @@ _META = "title author year date_decade genre".split()
 @query(f"WITH {_DOCS_SQL}, meta AS (SELECT tcp, {', '.join(f'max({c}) AS {c}_meta' for c in _META)} FROM metadata WHERE tcp IS NOT NULL GROUP BY 1) SELECT character_id, {', '.join(f'{c}_meta' for c in _META)} FROM docs LEFT JOIN meta USING (tcp)")
 def metadata_left_join(spark: SparkSession, d: str) -> DataFrame:
     meta = table(spark, d, "metadata").where("tcp is not null").groupBy("tcp").agg(*[F.max(c).alias(f"{c}_meta") for c in _META])
-    return _docs(spark, d).select("character_id", "tcp").join(meta, "tcp", "left").select("character_id", *[f"{c}_meta" for c in _META])
+    return _docs(spark, d, "tcp").join(meta, "tcp", "left").select("character_id", *[f"{c}_meta" for c in _META])
 
 
 _COVERED = "title author year genre play_type theater company role_description".split()
@@ -288,7 +292,7 @@ _COVERED = "title author year genre play_type theater company role_description".
 
 @query(f"WITH {_DOCS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n_total, count({c}) AS n_filled, round(100 * count({c}) / count(*), 2) AS pct FROM docs" for c in _COVERED))
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
-    return documents.coverage(_docs(spark, d), _COVERED)
+    return documents.coverage(_docs(spark, d, *_COVERED), _COVERED)
 
 
 @query("SELECT count(*) FILTER (a.tcp IS NOT NULL AND b.tcp IS NOT NULL) AS n_both, count(*) FILTER (b.tcp IS NULL) AS n_left_only, count(*) FILTER (a.tcp IS NULL) AS n_right_only FROM (SELECT DISTINCT character_id AS tcp FROM character_documents) a FULL JOIN (SELECT DISTINCT character_id AS tcp FROM character_vectors) b ON a.tcp = b.tcp")
@@ -306,12 +310,12 @@ def catalogue_merge(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- clusters
 @query(f"WITH {_XY_SQL}, s AS (SELECT cluster, count(*) AS n FROM xy WHERE cluster IS NOT NULL GROUP BY 1) SELECT 'earlier_run' AS preset, sum(n)::BIGINT AS n_total, count(*) FILTER (cluster <> -1) AS \"n_clusters_excl_-1\", coalesce(sum(n) FILTER (cluster = -1), 0)::BIGINT AS n_outliers, round(100 * coalesce(sum(n) FILTER (cluster = -1), 0) / sum(n), 2) AS outliers_pct, max(n) AS largest_cluster_size, max(n) FILTER (cluster <> -1) AS largest_real_cluster FROM s")
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.summary(_xy(spark, d).where("cluster is not null"), "earlier_run")
+    return clusters.summary(_xy(spark, d, "cluster").where("cluster is not null"), "earlier_run")
 
 
 @query(f"WITH {_XY_SQL} SELECT cluster, count(*) AS n FROM xy WHERE cluster IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def cluster_sizes_top8(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.sizes(_xy(spark, d).where("cluster is not null"))
+    return clusters.sizes(_xy(spark, d, "cluster").where("cluster is not null"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(T.STOPWORDS))
@@ -327,7 +331,7 @@ top AS (SELECT * FROM (SELECT cluster, term, tfidf, row_number() OVER (PARTITION
 
 
 def _clustered_texts(spark: SparkSession, d: str) -> DataFrame:
-    return _xy(spark, d).where("cluster is not null").select("character_id", "cluster").join(_texts(spark, d), "character_id")
+    return _xy(spark, d, "cluster").where("cluster is not null").select("character_id", "cluster").join(_texts(spark, d), "character_id")
 
 
 @query(f"WITH {_TFIDF_SQL} SELECT cluster, term, tf, df, round(tfidf, 6) AS tfidf FROM weights")
@@ -346,17 +350,17 @@ _LABELS_SQL = f"{_TFIDF_SQL}, xy2 AS (SELECT * FROM xy WHERE cluster IS NOT NULL
 
 @query(f"WITH {_LABELS_SQL} SELECT * FROM built")
 def cluster_labels_built(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.build_labels(_xy(spark, d).where("cluster is not null"), _texts(spark, d))
+    return clusters.build_labels(_xy(spark, d, "cluster", "n_chars", "normalized_name").where("cluster is not null"), _texts(spark, d))
 
 
 @query(f"WITH {_XY_SQL}, xy2 AS (SELECT * FROM xy WHERE cluster IS NOT NULL), {_MEMBERS5} SELECT * FROM five")
 def top_members(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.top_members(_xy(spark, d).where("cluster is not null"))
+    return clusters.top_members(_xy(spark, d, "cluster", "n_chars", "normalized_name").where("cluster is not null"))
 
 
 @query(f"WITH {_LABELS_SQL} SELECT xy2.character_id, xy2.cluster, built.label AS topic_label, built.top_words FROM xy2 LEFT JOIN built USING (cluster)")
 def label_back_join(spark: SparkSession, d: str) -> DataFrame:
-    rows = _xy(spark, d).where("cluster is not null")
+    rows = _xy(spark, d, "cluster", "n_chars", "normalized_name").where("cluster is not null")
     return clusters.join_labels(rows.select("character_id", "cluster"), clusters.build_labels(rows, _texts(spark, d)))
 
 
@@ -366,12 +370,12 @@ _AUTHOR = f"{_strip('string_split(coalesce(author, ' + chr(39) + '(unknown)' + c
 
 @query(f"WITH {_MEMBERS_SQL} SELECT cluster, {_AUTHOR} AS author, count(*) AS n FROM m GROUP BY 1, 2")
 def author_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return facets.author_histogram(_members(spark, d))
+    return facets.author_histogram(_members(spark, d, "author", place=("cluster",)))
 
 
 @query(f"WITH {_MEMBERS_SQL}, h AS (SELECT cluster, {_AUTHOR} AS author, count(*) AS n FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, author) AS r, count(*) OVER (PARTITION BY cluster) AS a FROM h) SELECT cluster, string_agg(concat_ws(' ', CASE WHEN {_strip('author')} = '' THEN '(unknown)' ELSE author END, n::VARCHAR), '; ' ORDER BY r) AS tags, greatest(max(a) - 18, 0) AS more FROM r WHERE r <= 18 GROUP BY 1")
 def author_tags_topn(spark: SparkSession, d: str) -> DataFrame:
-    return facets.author_tags(facets.author_histogram(_members(spark, d)))
+    return facets.author_tags(facets.author_histogram(_members(spark, d, "author", place=("cluster",))))
 
 
 _DECADE_ORDER = "(lower(decade) = 'unknown'), CASE WHEN regexp_full_match(regexp_replace(decade, 's+$', ''), '[0-9]{1,9}') THEN regexp_replace(decade, 's+$', '')::BIGINT ELSE 1000000000 END, decade"
@@ -379,12 +383,12 @@ _DECADE_ORDER = "(lower(decade) = 'unknown'), CASE WHEN regexp_full_match(regexp
 
 @query(f"WITH {_MEMBERS_SQL}, h AS (SELECT cluster, coalesce(date_decade, 'Unknown') AS decade, count(*) AS n FROM m GROUP BY 1, 2) SELECT cluster, decade, n, greatest(1, round_even(220.0 * n / max(n) OVER (PARTITION BY cluster), 0)::INT) AS width, row_number() OVER (PARTITION BY cluster ORDER BY {_DECADE_ORDER}) AS place FROM h")
 def decade_bars(spark: SparkSession, d: str) -> DataFrame:
-    return facets.decade_bars(_members(spark, d))
+    return facets.decade_bars(_members(spark, d, "date_decade", place=("cluster",)))
 
 
 @query(f"WITH {_MEMBERS_SQL} SELECT cluster, count(*) AS n, count(DISTINCT tcp) AS n_plays, min(year) AS first_year, max(year) AS last_year, trunc(median(year))::INT AS median_year FROM m GROUP BY 1")
 def year_stats(spark: SparkSession, d: str) -> DataFrame:
-    return facets.year_stats(_members(spark, d))
+    return facets.year_stats(_members(spark, d, "tcp", "year", place=("cluster",)))
 
 
 _AXES_SQL = " UNION ".join(f"SELECT '{n}' AS axis, {'1' if c == 'date_decade' else '0'} AS dated, {c} AS decade FROM m" for c, n in facets.AXES)
@@ -392,12 +396,12 @@ _AXES_SQL = " UNION ".join(f"SELECT '{n}' AS axis, {'1' if c == 'date_decade' el
 
 @query(f"WITH {_MEMBERS_SQL}, v AS ({_AXES_SQL}), k AS (SELECT * FROM v WHERE decade IS NOT NULL AND {_strip('decade')} <> '' AND lower(decade) <> 'unknown') SELECT axis, decade AS value, row_number() OVER (PARTITION BY axis ORDER BY CASE WHEN dated = 1 AND regexp_full_match(regexp_replace(decade, 's+$', ''), '[0-9]{{1,9}}') THEN regexp_replace(decade, 's+$', '')::BIGINT WHEN dated = 1 THEN 1000000000 END, decade) AS place FROM k")
 def facet_values(spark: SparkSession, d: str) -> DataFrame:
-    return facets.facet_values(_members(spark, d))
+    return facets.facet_values(_members(spark, d, *[c for c, _ in facets.AXES], place=("cluster",)))
 
 
 @query(f"WITH {_MEMBERS_SQL}, h AS (SELECT character_id, coalesce(genre = 'Tragedy', false) AS hit FROM m) SELECT character_id, hit, CASE WHEN hit THEN 10 ELSE 3 END AS size, CASE WHEN hit THEN 0.95::DOUBLE ELSE 0.20::DOUBLE END AS opacity, CASE WHEN hit THEN 1.5::DOUBLE ELSE 0::DOUBLE END AS line_width, CASE WHEN hit THEN 'black' ELSE 'rgba(0,0,0,0)' END AS line_color FROM h")
 def facet_mask(spark: SparkSession, d: str) -> DataFrame:
-    return facets.facet_mask(_members(spark, d), "genre", "Tragedy")
+    return facets.facet_mask(_members(spark, d, "genre", place=("cluster",)), "genre", "Tragedy")
 
 
 _seen = lambda c: f"CASE WHEN {_strip(c)} <> '' AND lower({_strip(c)}) NOT IN ('nan', 'none', 'unknown') THEN {_strip(c)} END"
@@ -420,17 +424,17 @@ _PALETTE_SQL = "[" + ", ".join(f"'{c}'" for c in facets.PALETTE) + "]"
 
 @query(f"WITH {_MEMBERS_SQL}, l AS (SELECT DISTINCT coalesce(topic_label, '-1: outliers') AS topic_label FROM m), p AS (SELECT topic_label, row_number() OVER (ORDER BY coalesce(try_cast({_strip('string_split(topic_label, ' + chr(39) + ':' + chr(39) + ')[1]')} AS BIGINT), 1000000000), topic_label) - 1 AS place FROM l) SELECT topic_label, place, CASE WHEN topic_label = '-1: outliers' THEN 'lightgrey' ELSE {_PALETTE_SQL}[place % {len(facets.PALETTE)} + 1] END AS colour FROM p")
 def color_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return facets.colours(_members(spark, d))
+    return facets.colours(_members(spark, d, "character_id", place=("cluster", "topic_label")))
 
 
 @query(f"WITH {_MEMBERS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY cluster, tcp ORDER BY n_words DESC NULLS LAST, character_id) AS r FROM m) SELECT cluster, tcp, character_id, year, row_number() OVER (PARTITION BY cluster ORDER BY year NULLS LAST, tcp) AS place FROM o WHERE r = 1")
 def plays_in_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return facets.plays_of(_members(spark, d)).select("cluster", "tcp", "character_id", "year", "place")
+    return facets.plays_of(_members(spark, d, "tcp", "n_words", "year", place=("cluster",))).select("cluster", "tcp", "character_id", "year", "place")
 
 
 @query(f"WITH {_MEMBERS_SQL} SELECT cluster, character_id, n_words, place FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n_words DESC NULLS LAST, character_id) AS place FROM m) WHERE place <= 40")
 def longest_40(spark: SparkSession, d: str) -> DataFrame:
-    return facets.longest(_members(spark, d)).select("cluster", "character_id", "n_words", "place")
+    return facets.longest(_members(spark, d, "n_words", place=("cluster",))).select("cluster", "character_id", "n_words", "place")
 
 
 # ---------------------------------------------------------------- vectors
@@ -473,7 +477,7 @@ def mutual_reachability(spark: SparkSession, d: str) -> DataFrame:
 def _planar(spark: SparkSession, d: str) -> DataFrame:
     """The stored map positions, as points to cluster."""
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
-    return _xy(spark, d).where(ok("x") & ok("y")).select(F.col("character_id").alias("id"), F.array("x", "y").alias("position"))
+    return _xy(spark, d, "x", "y").where(ok("x") & ok("y")).select(F.col("character_id").alias("id"), F.array("x", "y").alias("position"))
 
 
 @query()
@@ -557,7 +561,7 @@ _STATS_SQL = "SELECT cluster, count(*) AS n, count(DISTINCT tcp) AS n_plays, min
 
 @query(f"WITH {_MEMBERS_SQL}, s AS ({_STATS_SQL}), w AS (SELECT cluster, max(top_words) AS top_words FROM cluster_labels GROUP BY 1), h AS (SELECT cluster, {_AUTHOR} AS author, count(*) AS n FROM m WHERE cluster <> -1 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, author) AS r FROM h), t AS (SELECT cluster, string_agg(concat_ws(' ', CASE WHEN {_strip('author')} = '' THEN '(unknown)' ELSE author END, n::VARCHAR), '; ' ORDER BY r) AS authors FROM r WHERE r <= 6 GROUP BY 1) SELECT s.cluster, label, coalesce(w.top_words, '') AS top_words, n, n_plays, first_year, last_year, median_year, authors FROM s LEFT JOIN w USING (cluster) LEFT JOIN t USING (cluster)")
 def master_index(spark: SparkSession, d: str) -> DataFrame:
-    return reports.index_cards(_members(spark, d), table(spark, d, "cluster_labels"))
+    return reports.index_cards(_members(spark, d, "tcp", "year", "author", place=("cluster", "topic_label")), table(spark, d, "cluster_labels"))
 
 
 @query(f"WITH {_MEMBERS_SQL}, s AS ({_STATS_SQL}) SELECT 'index.html' AS path, '<!doctype html><html><head><meta charset=\"utf-8\"><title>Clusters</title></head><body><ul>' || string_agg('<li><a href=\"cluster_' || (CASE WHEN cluster BETWEEN 0 AND 9 THEN '0' ELSE '' END || cluster) || '.html\">' || {_escape('label')} || '</a> ' || n || ' characters</li>', '' ORDER BY cluster) || '</ul></body></html>' AS html FROM s")

@@ -25,4 +25,4 @@ def test_entry(spark):
 
 def test_scans_read_only_what_they_need(spark, small):
     plan = catalog.QUERIES["author_histogram"](spark, small)._jdf.queryExecution().executedPlan().toString()
-    assert "speech_text" not in plan
+    assert "speech_text" not in plan and "theater" not in plan and "topic_label" not in plan
