@@ -135,8 +135,8 @@ def test_reduction_keeps_neighbours_and_is_deterministic(spark):
 def test_curve_and_weights():
     a, b = reduction.curve(0.1)
     assert abs(a - 1.577) < 0.02 and abs(b - 0.895) < 0.02
-    w = reduction.smooth_weights(np.array([0.1, 0.2, 0.4, 0.5]), 4)
-    assert abs(w.sum() - 2) < 1e-3 and w[0] == 1
+    w = reduction.smooth_weights(np.array([[0.1, 0.2, 0.4, 0.5], [0.1, 0.2, np.nan, np.nan], [0.0, 0.0, 0.0, 0.0]]), 4)
+    assert abs(w[0].sum() - 2) < 1e-3 and w[0, 0] == 1 and w[1, 2] == 0 and (w[2] == 1).all()
 
 
 def test_layout_refuses_more_rows_than_a_task_takes(spark, monkeypatch):
