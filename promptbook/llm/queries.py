@@ -40,7 +40,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 def _census(spark: SparkSession, d: str) -> DataFrame:
     speech, top = records.speeches(spark, d), records.labels(spark, d)
     counts = term_census.term_census({"speech_text": (speech.select("speech_text"), "words"), "top_words": (top.select("top_words"), "entries")})
-    chars = table(spark, d, "character_documents").where("speech_text is not null").agg(F.countDistinct("character_id").alias("total"))
+    chars = records.speakers(spark, d)
     clusters = table(spark, d, "cluster_labels").where("top_words is not null").agg(F.countDistinct("cluster").alias("total"))
     totals = chars.select(F.lit("speech_text").alias("field"), "total").unionByName(clusters.select(F.lit("top_words").alias("field"), "total"))
     return term_census.mark_terms(counts, totals)
@@ -72,7 +72,7 @@ SQL["p2_census"] = _CENSUS + "SELECT c.*, m.mark FROM counts c LEFT JOIN (SELECT
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    scored = term_weights.log_entropy(records.speeches(spark, d), "character_id", "speech_text")
+    scored = term_weights.log_entropy(records.speeches(spark, d), "character_id", "speech_text", records.speakers(spark, d))
     return scored.where("tf >= 4 and df <= 5").select(F.col("id").alias("character_id"), "term")
 
 
@@ -86,7 +86,7 @@ SELECT id AS character_id, term FROM tf JOIN df USING (term) WHERE tf >= 4 AND d
 
 @query
 def p4_scores(spark: SparkSession, d: str) -> DataFrame:
-    scored = term_weights.log_entropy(records.speeches(spark, d), "character_id", "speech_text")
+    scored = term_weights.log_entropy(records.speeches(spark, d), "character_id", "speech_text", records.speakers(spark, d))
     return scored.select(F.col("id").alias("character_id"), "term", "tf", "df", F.round("score", 6).alias("score"))
 
 

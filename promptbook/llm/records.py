@@ -15,6 +15,12 @@ def speeches(spark: SparkSession, folder: str) -> DataFrame:
     return df.groupBy("character_id").agg(F.max("speech_text").alias("speech_text"))
 
 
+def speakers(spark: SparkSession, folder: str) -> DataFrame:
+    """``(total)``: how many characters have a text, counted without moving texts."""
+    df = table(spark, folder, "character_documents").where("character_id is not null and speech_text is not null")
+    return df.agg(F.countDistinct("character_id").alias("total"))
+
+
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     """``(cluster, top_words)`` of every cluster with top words; different lists of a cluster are joined by a comma."""
     df = table(spark, folder, "cluster_labels").where("top_words is not null").select("cluster", "top_words").distinct()

@@ -17,19 +17,20 @@ def local_counts(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def log_entropy(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def log_entropy(records: DataFrame, id_col: str, text_col: str, total: DataFrame | None = None) -> DataFrame:
     """``(id, term, tf, df, gf, score)`` with score = ln(1 + tf) * (1 - H / ln N).
 
     H is the entropy of the term's spread over records and N the number of records, so a term spread evenly
     over all scores 0 and a term of one record its full log frequency. One aggregation gives tf by record and
-    term, the other gf, df and the sum of tf ln tf by term. Records must have been made unique by id.
+    term, the other gf, df and the sum of tf ln tf by term. Records must have been made unique by id. ``total``, one
+    row with N in its first column, spares counting them here, which shuffles their texts once more.
 
     Edge cases: null texts count as no record; a text without terms counts in N; with N = 1 the entropy is 0
     and the weight 1; an empty table gives no rows.
     """
     records = records.where(F.col(text_col).isNotNull())
     tf = cut_table(local_counts(records, id_col, text_col))
-    n = records.agg(F.count("*").alias("n_all"))
+    n = records.agg(F.count("*").alias("n_all")) if total is None else total.select(F.col(total.columns[0]).alias("n_all"))
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.log(F.col("tf").cast("double"))).alias("tl"))
     entropy = F.log(F.col("gf").cast("double")) - F.col("tl") / F.col("gf")
     weight = F.when(F.col("n_all") > 1, 1 - entropy / F.log(F.col("n_all").cast("double"))).otherwise(F.lit(1.0))
