@@ -42,7 +42,7 @@ _LEAF = r"(?:Page|Pag\.|pag\.|[Ff]ol\.|[Ff]olio)\s*\d{1,4}\.?"
 _PAGE_LINE = re.compile(rf"\d{{1,4}}\.?|\[\s*\d{{1,4}}\s*\]|[-—–]\s*\d{{1,4}}\s*[-—–]|{_LEAF}|[A-Z]{{1,2}}\d{{1,2}}\.?|{_ROMAN}\.")
 _PAGE_INLINE = re.compile(rf"\[\s*\d{{1,4}}\s*\]|(?<!\S)[-—–]\s*\d{{1,4}}\s*[-—–](?!\S)|(?<!\S){_LEAF}(?!\S)|(?<!\S)[A-Z]{{1,2}}\d{{1,2}}\.?(?!\S)|(?<!\S){_ROMAN}\.(?!\S)|(?<!\S)\d{{1,3}}(?!\S)")
 _SMALL = rf"(?:[a-z{MISSING}][a-z0-9{MISSING}]{{0,2}}|[0-9][a-z]{{1,2}})"  # of, or, the, and the like, well read or not
-_CAP = rf"[A-Z][\w{MISSING}'\-]*"
+_CAP = rf"(?!(?:Page|Pag|Fol|Folio)\b)[A-Z][\w{MISSING}'\-]*"
 #: A run of words in capitals or with initial capitals, as titles are printed, in a text without line ends.
 _TITLE_INLINE = re.compile(rf"(?<!\S){_CAP}(?:,?\s+(?:{_SMALL}\s+)*{_CAP})+[.,]?(?!\w)")
 _NUMBER_BEFORE = re.compile(r"(?<!\S)(?<!Page )(?<!Pag\. )(?<!pag\. )(?<!fol\. )(?<!Fol\. )(?<!year )\d{1,3}\s+$")
