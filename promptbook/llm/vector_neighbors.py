@@ -1,10 +1,11 @@
 """Most similar vectors for every vector (problem 5): a forest of sorted hash strings.
 
 Each tree gives every vector a long string of bits, the sides of its own random hyperplanes that the
-vector lies on, and keeps the strings in sorted order. The place of a vector in that order is where its
-string has its longest prefix match; going outward from there meets ever shorter matches. All trees are
-ascended at the same pace, ``window`` places to either side, and the candidates are compared by cosine in
-blocks, so the work grows with the number of vectors and not with its square.
+vector lies on, and keeps the strings in sorted order, where vectors with a common prefix stand together.
+A run of equal strings, as a dense bundle gives, is split by further hyperplanes whose thresholds are fitted
+to that run, other ones in each tree. For every vector all trees are ascended at the same pace, from the
+longest common prefix to ever shorter ones, until together they hold enough candidates; the candidates are
+compared by cosine in blocks, so the work grows with the number of vectors and not with its square.
 """
 
 from __future__ import annotations
@@ -20,12 +21,20 @@ from pyspark.sql import functions as F
 from promptbook.plans.lineage import cut
 from promptbook.plans.sampling import bounded_sample
 
-#: Trees, bits of a hash string, places looked at on either side of a match at least.
+#: Trees, bits of a hash string, places to either side of a match that a tree stands for.
 TREES, BITS, WINDOW = 8, 62, 320
+#: The ascent ends when all trees together hold this many times the places they stand for.
+ENOUGH = 4
+#: Runs of equal strings longer than this are split by further bits, at most ``MORE_BITS`` of them.
+LONG_RUN, MORE_BITS = 64, 40
+#: Strings with so many rows of the sample are split before the rows are dealt out to tasks.
+HEAVY = 16
 #: Vectors, at most, from which the thresholds of the hyperplanes and the borders of the partitions are fitted.
 SAMPLE = 4096
 #: Vectors travel to the trees as whole numbers of 16 bits, half their size; cosines are exact to about 0.00002.
 SCALE = 32767
+#: Cosines that a task holds at a time.
+BLOCK = 4_000_000
 #: Rows of the sorted arrays that one task holds.
 TASK_ROWS = 60_000
 
@@ -61,43 +70,127 @@ def _hash(x: np.ndarray, planes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def _hash_batches(dim: int, planes: np.ndarray, cuts: np.ndarray, borders: list[np.ndarray]):
+def _places(borders: tuple[np.ndarray, np.ndarray], h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """How many borders, pairs of a string and its further bits in sorted order, lie at or below each row."""
+    low, high = np.searchsorted(borders[0], h, "left"), np.searchsorted(borders[0], h, "right")
+    out = high.copy()
+    for at in np.unique(low[low < high]):
+        same = (low == at) & (high > at)
+        out[same] = at + np.searchsorted(borders[1][at : high[same][0]], more[same], "right")
+    return out
+
+
+def _strings(x: np.ndarray, planes: np.ndarray, cuts: np.ndarray, heavy: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of one tree and, for the heavy ones, the further bits with the thresholds fitted to them."""
+    h = _hash(x, planes[0], cuts)
+    more = np.zeros(len(h), np.int64)
+    for string, own in heavy.items():
+        if len(same := np.flatnonzero(h == string)):
+            more[same] = _hash(x[same], planes[1], own)
+    return h, more
+
+
+def _hash_batches(dim: int, planes: np.ndarray, cuts: np.ndarray, heavy: list[dict], borders: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("u"), dim)
             small = np.rint(x * SCALE).astype(np.int16)
             small = pa.array([r.tobytes() for r in small], pa.binary())
+            rest = [b.column("id"), small, b.column("level")]
             for t in range(len(planes)):
-                h = _hash(x, planes[t], cuts[t])
-                part = np.searchsorted(borders[t], h) + t * (len(borders[t]) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h), b.column("id"), small], names=["part", "h", "id", "u"])
+                h, more = _strings(x, planes[t], cuts[t], heavy[t])
+                part = _places(borders[t], h, more) + t * (len(borders[t][0]) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h), pa.array(more), *rest], names=["part", "h", "more", "id", "u", "level"])
 
     return run
 
 
-def _search(dim: int, k: int, least: float, window: int):
+def _common(strings: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each string shares with the one before it."""
+    differ = strings[1:] ^ strings[:-1]
+    return np.concatenate([[-1], BITS - np.array([int(d).bit_length() for d in differ], dtype=np.int64)]) if len(strings) else np.zeros(0, np.int64)
+
+
+def _runs(common: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First row and end of every run of rows that share a prefix of ``level`` bits."""
+    first = np.flatnonzero(common < level)
+    return first, np.append(first[1:], len(common))
+
+
+def _ordered(h: np.ndarray, more: np.ndarray, x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of one sorted array after all bits, and the prefix each shares with the one before."""
+    common, further = _common(h), _common(more)
+    common = np.where(common == BITS, BITS + np.maximum(further, 0), common)
+    order = np.arange(len(h))
+    rng = np.random.default_rng(seed)
+    depth = 2 * BITS
+    for _ in range(MORE_BITS):
+        first, end = _runs(common, depth)
+        long = end - first > LONG_RUN
+        if not long.any():
+            break
+        plane = rng.standard_normal(x.shape[1]).astype(np.float32)
+        depth += 1
+        for lo, hi in zip(first[long], end[long]):
+            order[lo:hi] = order[lo:hi][np.argsort(x[order[lo:hi]] @ plane, kind="stable")]
+            common[lo + 1 : hi] = depth
+            common[(lo + hi) // 2] = depth - 1
+    return order, common
+
+
+def _sizes(enough: int):
+    """For each row the levels at which its run grows and by how much, from the longest prefix upwards until enough."""
+    names = pa.schema([("id", pa.string()), ("level", pa.int32()), ("grown", pa.int64())])
+
+    def run(part: int, ids: np.ndarray, x: np.ndarray, common: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
+        before = np.ones(len(ids), np.int64)
+        for at in np.unique(common)[::-1]:
+            first, end = _runs(common, max(0, at))
+            now = np.repeat(end - first, end - first)
+            grown = np.flatnonzero((now > before) & (before < enough))
+            if len(grown):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[grown]), pa.array(np.full(len(grown), max(0, at), np.int32)), pa.array((now - before)[grown])], schema=names)
+            before = now
+
+    return run
+
+
+def _search(k: int, least: float):
+    """For each row its best among the rows that share its prefix of the level asked for."""
     names = pa.schema([("a", pa.string()), ("b", pa.string()), ("cosine", pa.float64())])
 
-    def blocks(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(ids)
-        for at in range(0, n, window):
-            end, lo, hi = min(n, at + window), max(0, at - window), min(n, at + 2 * window)
-            s = x[at:end] @ x[lo:hi].T
-            s[np.arange(end - at), np.arange(at - lo, end - lo)] = -2
-            if hi - lo > k:
-                kth = np.partition(s, hi - lo - k, axis=1)[:, hi - lo - k] if (s >= least).sum() > 8 * k * (end - at) else None
-            else:
-                kth = None
-            keep = s >= (least if kth is None else np.maximum(kth, least)[:, None])
-            row, col = np.nonzero(keep)
-            if not len(row):
-                continue
-            cos = np.einsum("ij,ij->i", x[at + row].astype(np.float64), x[lo + col].astype(np.float64))
-            order = np.lexsort((-cos, row))
-            row, col, cos = row[order], col[order], cos[order]
-            first = np.searchsorted(row, row)
-            best = np.arange(len(row)) - first < k
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[best]]), pa.array(ids[lo + col[best]]), pa.array(cos[best])], schema=names)
+    def block(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        s = x[rows] @ x[lo:hi].T
+        s[np.arange(len(rows)), rows - lo] = -2
+        kth = None
+        if hi - lo > k and np.count_nonzero(s >= least) > 8 * k * len(rows):
+            kth = np.partition(s, hi - lo - k, axis=1)[:, hi - lo - k]
+        row, col = np.nonzero(s >= (least if kth is None else np.maximum(kth, least)[:, None]))
+        if not len(row):
+            return
+        cos = np.einsum("ij,ij->i", x[rows[row]].astype(np.float64), x[lo + col].astype(np.float64))
+        order = np.lexsort((-cos, row))
+        row, col, cos = row[order], col[order], cos[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows[row[best]]]), pa.array(ids[lo + col[best]]), pa.array(cos[best])], schema=names)
+
+    def run(part: int, ids: np.ndarray, x: np.ndarray, common: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in np.unique(level):
+            first, end = _runs(common, at)
+            rows = np.flatnonzero(level == at)
+            own = np.searchsorted(first, rows, "right") - 1
+            for r in np.split(rows, np.flatnonzero(np.diff(own)) + 1):
+                j = np.searchsorted(first, r[0], "right") - 1
+                lo, hi = first[j], end[j]
+                step = max(1, BLOCK // (hi - lo))
+                for i in range(0, len(r) if hi - lo > 1 else 0, step):
+                    yield from block(ids, x, r[i : i + step], lo, hi)
+
+    return run
+
+
+def _by_part(dim: int, work):
+    """Runs ``work`` over each sorted array, with all bits of its strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -108,7 +201,8 @@ def _search(dim: int, k: int, least: float, window: int):
                 t = pa.Table.from_batches(held)
                 x = np.frombuffer(b"".join(t["u"].to_pylist()), dtype=np.int16).reshape(-1, dim).astype(np.float32)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield from blocks(np.asarray(t["id"].to_pylist(), dtype=object), x)
+                order, common = _ordered(np.asarray(t["h"]), np.asarray(t["more"]), x, int(part))
+                yield from work(int(part), np.asarray(t["id"].to_pylist(), dtype=object)[order], x[order], common, np.asarray(t["level"])[order])
                 held.clear()
 
         for b in batches:
@@ -133,13 +227,29 @@ def forest_pairs(units: DataFrame, dim: int, k: int, least: float, trees: int =
         return units.sparkSession.createDataFrame([], "a string, b string, cosine double")
     x = np.array(sample, dtype=np.float32)
     rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((trees, BITS, dim)).astype(np.float32)
-    cuts = np.stack([np.median(x @ p.T, axis=0) for p in planes])
+    planes = rng.standard_normal((trees, 2, BITS, dim)).astype(np.float32)
+    cuts = np.stack([np.median(x @ p[0].T, axis=0) for p in planes])
     per_tree = max(1, -(-n // TASK_ROWS))
-    borders = [np.quantile(_hash(x, p, c), np.arange(1, per_tree) / per_tree, method="nearest").astype(np.int64) for p, c in zip(planes, cuts)]
-    hashed = units.mapInArrow(_hash_batches(dim, planes, cuts, borders), "part int, h bigint, id string, u binary")
-    arrays = hashed.repartitionById(trees * per_tree, "part").sortWithinPartitions("part", "h", "id")
-    found = arrays.mapInArrow(_search(dim, k, least, window), "a string, b string, cosine double")
+    heavy, borders = [], []
+    for p, c in zip(planes, cuts):
+        h = _hash(x, p[0], c)
+        strings, count = np.unique(h, return_counts=True)
+        heavy.append({int(s): np.median(x[h == s] @ p[1].T, axis=0) for s in strings[count >= HEAVY]})
+        h, more = _strings(x, p, c, heavy[-1])
+        at = np.lexsort((more, h))[np.arange(1, per_tree) * len(x) // per_tree]
+        borders.append((h[at], more[at]))
+
+    def arrays(rows: DataFrame) -> DataFrame:
+        hashed = rows.mapInArrow(_hash_batches(dim, planes, cuts, heavy, borders), "part int, h bigint, more bigint, id string, u binary, level int")
+        return hashed.repartitionById(trees * per_tree, "part").sortWithinPartitions("part", "h", "more", "id")
+
+    enough = ENOUGH * trees * 2 * window
+    grown = arrays(units.withColumn("level", F.lit(0))).mapInArrow(_by_part(dim, _sizes(enough)), "id string, level int, grown bigint")
+    grown = grown.groupBy("id", "level").agg(F.sum("grown").alias("grown"))
+    seen = grown.withColumn("seen", F.sum("grown").over(W.partitionBy("id").orderBy(F.desc("level"))))
+    levels = seen.groupBy("id").agg(F.max(F.when(F.col("seen") >= enough, F.col("level"))).alias("level"))
+    wanted = units.join(levels, "id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    found = arrays(wanted).mapInArrow(_by_part(dim, _search(k, least)), "a string, b string, cosine double")
     found = found.repartition("a").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))  # one shuffle for this and the ranking
     best = found.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b")))
     return best.where(F.col("r") <= k).select("a", "b", "cosine")

@@ -39,3 +39,20 @@ def test_a_third_of_all_rows_are_copies(spark):
     assert len(got) == 100
     for r in got:
         assert r.n == [f for f in first if f != r.id][:5]
+
+
+def test_a_third_of_all_rows_are_one_bundle_of_different_vectors(spark):
+    rng = np.random.default_rng(4)
+    n, third, dim = 6_000, 2_000, 24
+    x = np.repeat(rng.normal(size=(n // 20, dim)), 20, axis=0) + rng.normal(scale=0.3, size=(n, dim))
+    x[:third] = rng.normal(size=dim) + rng.normal(scale=0.05, size=(third, dim))
+    place = rng.permutation(n)
+    x = x[place].astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:05d}", r.tolist()) for i, r in enumerate(x)], "i string, e array<float>")
+    got = {(int(r.id[1:]), int(r.neighbour[1:])) for r in nearest(df, "i", "e", dim, 5, 0.85, window=16).collect()}
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    rows = np.flatnonzero(place < third)[:500]
+    s = u[rows] @ u.T
+    s[np.arange(len(rows)), rows] = -2
+    want = {(int(i), int(j)) for i, r in zip(rows, s) for j in np.argsort(-r)[:5]}
+    assert len(got & want) / len(want) > 0.8
