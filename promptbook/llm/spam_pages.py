@@ -2,8 +2,9 @@
 
 Every word of a page is judged by the words around it. A word counts as spam if it is a link, if it stands
 in a stretch almost without function words (lists of nouns, tags, prices), or in a stretch where content
-words come back after unnaturally short gaps (positional autocorrelation within a lag window). A page is
-flagged if more than the given share of its words counts as spam. All pages are judged by themselves, so
+words come back after unnaturally short gaps, or in a stretch most of whose content words come back at a
+steady distance, whatever that is: by equal gaps of a word, or at a lag at which the page's autocorrelation
+stands out. A longer passage in the style of writing that is copied whole is no keyword. A page is flagged if more than the given share of its words counts as spam. All pages are judged by themselves, so
 nothing is shuffled.
 """
 
@@ -22,6 +23,11 @@ LAG = 12
 #: At most this share of function words makes a stretch a list. A content word that makes up this share of its
 #: window (and occurs three times in it) is dense, and a window with this share of dense words is stuffed.
 LIST_SHARE, DENSE_TERM, DENSE_SHARE = 0.12, 0.19, 0.16
+#: A word is steady if it comes back so often at gaps that differ by at most this share (or one word); a stretch
+#: is steady if this share of its content words is. Lags count from this autocorrelation on.
+TIMES, JITTER, STEADY_SHARE, LAG_SHARE = 5, 0.15, 0.66, 0.15
+#: A steady passage of more than two lag windows is a keyword page only below this share of function words.
+PASSAGE_SHARE = 0.45
 #: Shorter segments are judged with the words around them; fewer words make no list.
 SHORT = 6
 
@@ -68,6 +74,77 @@ class _Words:
         return got
 
 
+def _chained(term: np.ndarray, lag: int) -> np.ndarray:
+    """Words that stand, lag after lag, in a chain of at least TIMES equal words; terms below 0 never do."""
+    n = len(term)
+    rows = -(-n // lag)
+    grid = np.full(rows * lag, -1, np.int64)
+    grid[:n] = term
+    flat = grid.reshape(rows, lag).T.ravel()  # each chain in one piece
+    start = np.ones(len(flat), bool)
+    start[1:] = flat[1:] != flat[:-1]
+    start[::rows] = True
+    run = np.cumsum(start) - 1
+    long = (np.bincount(run)[run] >= TIMES) & (flat >= 0)
+    return long.reshape(lag, rows).T.ravel()[:n]
+
+
+def _lags(term: np.ndarray) -> np.ndarray:
+    """Lags, the least first, at which the autocorrelation of the content words stands out; all lags are looked at."""
+    n = len(term)
+    size = 1 << (2 * n - 1).bit_length()
+    total = np.zeros(n)
+    rng = np.random.default_rng(5)
+    for _ in range(4):  # equal terms agree in sign, others by chance
+        sign = np.where(term >= 0, rng.choice([-1.0, 1.0], int(term.max()) + 1)[np.maximum(term, 0)], 0.0)
+        f = np.fft.rfft(sign, size)
+        total += np.fft.irfft(f * f.conj(), size)[:n]
+    total /= 4
+    lags = np.arange(1, (n - 1) // (TIMES - 1) + 1)
+    return lags[total[lags] >= LAG_SHARE * max(total[0], 1)]
+
+
+def _steady(term: np.ndarray, function: np.ndarray) -> np.ndarray:
+    """Words of one page in stretches whose content words come back at a steady distance; other terms are -1."""
+    n = len(term)
+    out = np.zeros(n, bool)
+    content = term >= 0
+    at = np.flatnonzero(content)
+    at = at[np.argsort(term[at], kind="stable")]
+    back = np.zeros(n, np.int64)  # the steady distance of a word
+    if len(at) >= TIMES:
+        gap = np.where(term[at[1:]] == term[at[:-1]], np.diff(at), 0)
+        like = (gap[1:] > 0) & (gap[:-1] > 0) & (np.abs(np.diff(gap)) <= np.maximum(1, JITTER * np.maximum(gap[1:], gap[:-1])))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], like.astype(np.int8), [0]])))
+        for a, b in zip(edge[::2], edge[1::2]):
+            if b - a >= TIMES - 2:
+                back[at[a : b + 2]] = int(np.median(gap[a : b + 1]))
+    known = np.unique(term[content], return_counts=True)[1]
+    if known.max(initial=0) >= TIMES:
+        used: list[int] = []
+        for lag in _lags(term):
+            if any(lag % u == 0 for u in used):
+                continue
+            chained = _chained(np.where(content, term, -1), int(lag))
+            if chained.any():
+                used.append(int(lag))
+                back[chained & (back == 0)] = lag
+    hit = back > 0
+    if not hit.any():
+        return out
+    total = lambda flag: np.concatenate([[0], np.cumsum(flag)])
+    hits, contents, functions = total(hit), total(content), total(function)
+    for period in np.unique(back[hit]):
+        wide = max(LAG, int(period))
+        near = total(back == period)
+        lo, hi = np.maximum(np.arange(n) - wide, 0), np.minimum(np.arange(n) + wide + 1, n)
+        good = (near[hi] > near[lo]) & (hits[hi] - hits[lo] >= STEADY_SHARE * (contents[hi] - contents[lo]))
+        if period > 2 * LAG:
+            good &= functions[hi] - functions[lo] <= PASSAGE_SHARE * (hi - lo)
+        out |= good
+    return out
+
+
 def _judge(texts: list[str], words: _Words) -> tuple[np.ndarray, ...]:
     """Words, and of these links, words of lists and stuffed words, for each text."""
     if len(words.seen) > 500_000:
@@ -121,6 +198,17 @@ def _judge(texts: list[str], words: _Words) -> tuple[np.ndarray, ...]:
         own = content[order]
         dense[own] = close >= np.maximum(3, DENSE_TERM * (wide_hi - wide_lo)[own])
     stuffed = within(dense, wide_lo, wide_hi) >= DENSE_SHARE * (wide_hi - wide_lo)
+    if len(content):
+        # only pages with a window half of whose content words come often enough can have a steady stretch
+        _, which, times = np.unique(s // (n + step), return_inverse=True, return_counts=True)
+        often = np.zeros(n, bool)
+        often[own] = times[which] >= TIMES
+        of_content = within(kind == _Words.CONTENT, wide_lo, wide_hi)
+        again = np.bincount(doc[often & (2 * within(often, wide_lo, wide_hi) >= of_content)], minlength=n_docs) > 0
+        for k in np.flatnonzero(again):
+            lo_k, hi_k = np.searchsorted(doc, [k, k + 1])
+            page = slice(lo_k, hi_k)
+            stuffed[page] |= _steady(np.where(kind[page] == _Words.CONTENT, term[page], -1), function[page])
     link = kind == _Words.LINK
     count = lambda flag: np.bincount(doc[flag], minlength=n_docs)
     return np.bincount(doc, minlength=n_docs), count(link), count(in_list & ~link), count(stuffed & ~in_list & ~link)

@@ -35,3 +35,16 @@ def test_edges(spark):
     got = {r.id for r in spam_shares(frame(spark), "doc_id", "text").collect()}
     assert got == {*SPAM, *FAIR, 24, 25}
     assert spam_shares(frame(spark).where("false"), "doc_id", "text").count() == 0
+
+
+STEADY = {
+    30: "Buy the best ruff at our shop today. " * 100,
+    31: "Get your tickets for the new play here and we will seat you tonight. " * 100,
+    32: "".join(f"Buy the best {w} at our shop today. " for w in ["ruff", "wig", "mask", "lute", "quill"] * 12),
+    33: "Order a fine printed quarto with gilded edges or a sturdy leather binding from this bookseller because prices fall every single week and delivery costs nothing. " * 40,
+}
+
+
+def test_keyword_sentences_at_a_steady_distance_are_flagged(spark):
+    pages = spark.createDataFrame([*STEADY.items(), (40, SPEECH * 100), *FAIR.items()], "doc_id long, text string")
+    assert {r.id for r in spam_pages(pages, "doc_id", "text").collect()} == {*STEADY}
