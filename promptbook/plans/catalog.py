@@ -474,6 +474,25 @@ def mutual_reachability(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mutual_reachability(near, vectors.core_distances(near, 10)).withColumn("weight", F.round("weight", 6))
 
 
+_CHARACTER_KNN_SQL = _VEC_SQL + ", k AS" + _KNN_SQL.split(", k AS", 1)[1]
+
+
+@query(f"WITH {_CHARACTER_KNN_SQL} SELECT id, neighbour, round(distance, 6) AS distance, rank FROM k")
+def character_knn15(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.knn(_vectors(spark, d), 15).select("id", "neighbour", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"WITH {_CHARACTER_KNN_SQL} SELECT id, round(max(distance), 6) AS core FROM k WHERE rank <= 10 GROUP BY 1")
+def character_core_distance(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.core_distances(vectors.knn(_vectors(spark, d), 15), 10).select("id", F.round("core", 6).alias("core"))
+
+
+@query(f"WITH {_CHARACTER_KNN_SQL}, c AS (SELECT id, max(distance) AS core FROM k WHERE rank <= 10 GROUP BY 1), e AS (SELECT least(id, neighbour) AS a, greatest(id, neighbour) AS b, min(distance) AS d FROM k GROUP BY 1, 2) SELECT a, b, round(greatest(d, ca.core, cb.core), 6) AS weight FROM e JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b")
+def character_mutual_reachability(spark: SparkSession, d: str) -> DataFrame:
+    near = cut(vectors.knn(_vectors(spark, d), 15))
+    return vectors.mutual_reachability(near, vectors.core_distances(near, 10)).withColumn("weight", F.round("weight", 6))
+
+
 def _planar(spark: SparkSession, d: str) -> DataFrame:
     """The stored map positions, as points to cluster."""
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
@@ -491,8 +510,8 @@ def hdbscan_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
-    stored = _stored(spark, d)
-    return stored.select("id"), reduction.fuzzy_graph(vectors.knn(stored, k), k)
+    rows = _vectors(spark, d)
+    return rows.select("id"), reduction.fuzzy_graph(vectors.knn(rows, k), k)
 
 
 @query()
@@ -514,8 +533,8 @@ def umap_2d(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def preset_summaries(spark: SparkSession, d: str) -> DataFrame:
-    stored = cut(_stored(spark, d))
-    return pipeline.summarise({p.name: cut(pipeline.cluster_vectors(stored, p)) for p in config.PRESETS})
+    rows = cut(_vectors(spark, d))
+    return pipeline.summarise({p.name: cut(pipeline.cluster_vectors(rows, p)) for p in config.PRESETS})
 
 
 @query()

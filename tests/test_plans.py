@@ -31,3 +31,12 @@ def test_package_is_shipped_once(spark):
     ship(spark)
     ship(spark)
     assert sum("promptbook.zip" in f for f in spark.sparkContext.listFiles) == 1
+
+
+def test_reduction_is_of_the_characters(spark, small):
+    from promptbook.plans import catalog
+
+    have = {r.id for r in catalog.QUERIES["l2_normalize"](spark, small).collect()}
+    graph = catalog.QUERIES["fuzzy_graph"](spark, small).collect()
+    assert {r.a for r in graph} | {r.b for r in graph} == have
+    assert {r.id for r in catalog.QUERIES["umap_2d"](spark, small).collect()} == have
