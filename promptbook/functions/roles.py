@@ -1,52 +1,34 @@
-"""Reading a printed list of roles: names in capitals with descriptions."""
+"""Reading a printed list of roles: names in capitals with descriptions, as column expressions."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from promptbook.functions.text import WS, clip, strip
 
 #: What counts as a word of a name, and what looks like a name but is none.
 NAME_WORD = r"[A-Za-z]*[A-Z]{3,}[A-Za-z'.\-]*"
-NUMERAL_LETTERS = frozenset("IVXLCM")
-HEADINGS = frozenset(["ACT", "SCENE", "PAGE"])
+NUMERAL = "[IVXLCM]+"
+HEADINGS = ("ACT", "SCENE", "PAGE")
 #: Longest description that is kept whole.
 DESCRIPTION_CHARS = 400
 
-_NAME = re.compile(rf"\b{NAME_WORD}(?:\s+{NAME_WORD})*\b")
-ROLE_TYPE = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType())]))
-
-
-def clip(text: str, n: int) -> str:
-    """At most ``n`` code points, cut at the last space, with an ellipsis if anything was cut."""
-    if len(text) <= n:
-        return text
-    head = text[:n]
-    return (head.rsplit(" ", 1)[0] if " " in head else head) + "…"
-
-
-def read_roles(text: str | None) -> list[tuple[str, str]]:
-    """``(name, description)`` of every role; a description reaches to the next name, numerals and headings included."""
-    hits = list(_NAME.finditer(text)) if isinstance(text, str) else []
-    ends = [h.start() for h in hits[1:]] + [len(text or "")]
-    out = []
-    for hit, end in zip(hits, ends):
-        name = hit.group().strip()
-        bare = name.replace(" ", "")
-        if set(bare) <= NUMERAL_LETTERS or bare in HEADINGS:
-            continue
-        out.append((name, clip(text[hit.end() : end].strip().lstrip(",;").strip(), DESCRIPTION_CHARS)))
-    return out
-
-
-@F.pandas_udf(ROLE_TYPE)
-def _roles(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"name": n, "description": d} for n, d in read_roles(t)])
+_LETTER = r"[\p{L}\p{N}_]"
+#: A place between a word character and none, with Python's notion of word characters.
+_EDGE = f"(?:(?<={_LETTER})(?!{_LETTER})|(?<!{_LETTER})(?={_LETTER}))"
+NAME = f"{_EDGE}{NAME_WORD}(?:{WS}{NAME_WORD})*{_EDGE}"
 
 
 def parse_roles(text: Column | str) -> Column:
-    """Array of roles in printed order; null and texts without a name in capitals give an empty array."""
-    return _roles(text)
+    """``ARRAY<STRUCT<name, description>>`` of the roles in printed order.
+
+    The names split the text, so what follows a name up to the next one, numerals and headings included, is its
+    description. Null and texts without a name in capitals give an empty array.
+    """
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    between = F.split(text, NAME)
+    about = lambda i: clip(strip(F.regexp_replace(strip(F.element_at(between, i + 2)), "^[,;]+", "")), DESCRIPTION_CHARS)
+    every = F.transform(F.regexp_extract_all(text, F.lit(f"({NAME})"), 1), lambda name, i: F.struct(name.alias("name"), about(i).alias("description")))
+    bare = lambda role: F.replace(role["name"], F.lit(" "), F.lit(""))
+    return F.filter(every, lambda role: ~bare(role).rlike(f"^{NUMERAL}$") & ~bare(role).isin(*HEADINGS))

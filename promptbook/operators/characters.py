@@ -18,10 +18,15 @@ def first_by(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def speeches_of(plays: DataFrame) -> DataFrame:
-    """``(tcp, pos, prefix, text)`` of ``plays(tcp, speeches MAP)``; of a repeated prefix the last text counts, at the first place."""
-    entries = plays.select("tcp", F.posexplode_outer(F.map_entries(F.coalesce("speeches", F.create_map().cast("map<string,string>")))).alias("pos", "e"))
-    rows = entries.where("e is not null").select("tcp", "pos", F.col("e.key").alias("prefix"), F.coalesce("e.value", F.lit("")).alias("text"))
-    return rows.groupBy("tcp", "prefix").agg(F.min("pos").alias("pos"), F.max_by("text", "pos").alias("text")).select("tcp", "pos", "prefix", "text")
+    """``(tcp, pos, prefix, text)`` of ``plays(tcp, speeches MAP[, file])``; of a repeated prefix the last text counts, at
+    the first place. A play in several files is read in the order of their names."""
+    by_file = "file" in plays.columns
+    rows = plays if by_file else plays.withColumn("file", F.lit(""))
+    entries = rows.select("tcp", "file", F.posexplode_outer(F.map_entries(F.coalesce("speeches", F.create_map().cast("map<string,string>")))).alias("pos", "e"))
+    said = entries.where("e is not null").select("tcp", F.struct("file", "pos").alias("at"), F.col("e.key").alias("prefix"), F.coalesce("e.value", F.lit("")).alias("text"))
+    once = said.groupBy("tcp", "prefix").agg(F.min("at").alias("at"), F.max_by("text", "at").alias("text"))
+    pos = F.row_number().over(W.partitionBy("tcp").orderBy("at")) - 1 if by_file else F.col("at.pos")  # the prefixes of one play
+    return once.select("tcp", pos.alias("pos"), "prefix", "text")
 
 
 def known_plays(rows: DataFrame, catalogue: DataFrame, how: str = "left_semi") -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from promptbook.functions.text import STOPWORDS, TERM, label_for
+from promptbook.functions.text import TERM, label_for
 
+#: A term in more than this share of the characters is a stop word, in whatever spelling, unless a list is given.
+STOP_SHARE = 0.2
 
 #: Types that an aggregate can update in place, so that it hashes instead of sorting.
 _FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}
@@ -35,21 +37,39 @@ def sizes(rows: DataFrame, k: int = 8) -> DataFrame:
     return rows.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").limit(k)
 
 
-def class_tfidf(rows: DataFrame, min_df: int = 2, max_df: float = 0.95, stopwords=STOPWORDS, with_outliers: bool = True) -> DataFrame:
-    """``(cluster, term, tf, df, tfidf)`` of ``rows(cluster, speech_text)``, a cluster being one document.
+def stop_words(counts: DataFrame, records: DataFrame, share: float = STOP_SHARE) -> DataFrame:
+    """``(term)`` of ``counts(term, records)`` in more than ``share`` of ``records(n_records)``, one row.
 
-    Texts are never concatenated: terms are counted by cluster with map-side aggregation. A term stays if it is
-    in at least ``min_df`` clusters and in at most ``max_df`` of them; with too few clusters nothing is left.
+    They are at most the distinct terms of an average record divided by ``share``, however large the collection.
+    """
+    return counts.crossJoin(F.broadcast(records)).where(F.col("records") > share * F.col("n_records")).select("term")  # records is one row
+
+
+def class_tfidf(rows: DataFrame, min_df: int = 2, max_df: float = 0.95, stopwords=None, with_outliers: bool = True) -> DataFrame:
+    """``(cluster, term, tf, df, tfidf)`` of ``rows(character_id, cluster, speech_text)``, a cluster being one document.
+
+    Texts are never concatenated: terms are counted by character and then by cluster with map-side aggregation. A
+    term stays if it is in at least ``min_df`` clusters and in at most ``max_df`` of them; with too few clusters
+    nothing is left. The weights of a cluster have length 1. Stop words are learnt from the rows (``stop_words``),
+    or a list given as ``stopwords``.
     """
     rows = rows.where("cluster is not null and speech_text is not null")
     if not with_outliers:
         rows = rows.where("cluster <> -1")
-    terms = rows.select("cluster", F.explode(F.regexp_extract_all(F.lower("speech_text"), F.lit(TERM), 1)).alias("term"))
-    tf = terms.where(~F.col("term").isin(*sorted(stopwords))).groupBy("cluster", "term").agg(F.count("*").alias("tf"))
-    n = rows.agg(F.countDistinct("cluster").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))  # n is one row
+    terms = rows.select("character_id", "cluster", F.explode(F.regexp_extract_all(F.lower("speech_text"), F.lit(TERM), 1)).alias("term"))
+    if stopwords is not None:
+        terms = terms.where(~F.col("term").isin(*sorted(stopwords)))
+    by_record = terms.groupBy("character_id", "cluster", "term").agg(F.count("*").alias("tf"))
+    tf = by_record.groupBy("cluster", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("records"))
+    n = rows.agg(F.countDistinct("cluster").alias("n"), F.countDistinct("character_id", "cluster").alias("n_records"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("records").alias("records"))
+    if stopwords is None:
+        df = df.join(F.broadcast(stop_words(df, n.select("n_records"))), "term", "left_anti")  # few terms, see stop_words
+    df = df.crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))  # n is one row
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    return tf.join(df, "term").select("cluster", "term", "tf", "df", (F.col("tf") * idf).alias("tfidf"))
+    weights = tf.join(df.select("term", "df", idf.alias("idf")), "term").select("cluster", "term", "tf", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weights.groupBy("cluster").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weights.join(norms, "cluster").select("cluster", "term", "tf", "df", (F.col("w") / F.col("norm")).alias("tfidf"))
 
 
 def top_terms(weights: DataFrame, k: int = 10) -> DataFrame:
@@ -70,7 +90,7 @@ def top_members(rows: DataFrame, k: int = 5) -> DataFrame:
 
 def build_labels(rows: DataFrame, texts: DataFrame, k: int = 10) -> DataFrame:
     """``(cluster, n_members, top_words, top_characters, label)`` of ``rows(character_id, cluster, ...)``."""
-    joined = rows.select("character_id", "cluster").join(texts, "character_id")
+    joined = rows.select("character_id", F.col("cluster").cast("int").alias("cluster")).join(texts, "character_id")
     words = top_terms(class_tfidf(joined), k).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("words"))
     counts = rows.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n_members"))
     out = counts.join(words, "cluster", "left").join(top_members(rows), "cluster", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))

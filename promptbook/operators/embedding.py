@@ -34,19 +34,47 @@ def hashing_model(dim: int = 64) -> Model:
     return make
 
 
-def embed(documents: DataFrame, id_col: str, text_col: str, model: Model | None = None, instruction: str = config.EMBED_INSTRUCTION, max_tokens: int = config.EMBED_MAX_TOKENS) -> DataFrame:
+def last_token_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The state of the last token of each text: ``states(texts, tokens, dim)``, ``mask(texts, tokens)`` 1 for tokens
+    and 0 for padding, which may stand on either side. A text of padding only gives its last state."""
+    states, mask = np.asarray(states), np.asarray(mask).astype(bool)
+    length = mask.shape[1]
+    last = length - 1 - np.argmax(mask[:, ::-1], axis=1)
+    return states[np.arange(len(states)), last]
+
+
+def pooled_model(load: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]) -> Model:
+    """A model from one that gives hidden states and mask: its vectors are those of the last tokens."""
+
+    def make():
+        states_of = load()
+        return lambda texts: last_token_pool(*states_of(texts))
+
+    return make
+
+
+#: How a text is cut into tokens and put together again: white space by default, a tokenizer's pair otherwise.
+Tokens = Callable[[], tuple[Callable[[str], list], Callable[[list], str]]]
+
+
+def white_space() -> tuple[Callable[[str], list], Callable[[list], str]]:
+    return str.split, " ".join
+
+
+def embed(documents: DataFrame, id_col: str, text_col: str, model: Model | None = None, instruction: str = config.EMBED_INSTRUCTION, max_tokens: int = config.EMBED_MAX_TOKENS, tokens: Tokens = white_space) -> DataFrame:
     """``(id, embedding, n_tokens, truncated)``: the unit vector of each text with its instruction, one row per document.
 
-    Tokens are counted once, on white space; a text beyond ``max_tokens`` is truncated and marked so.
+    Tokens are counted once, by ``tokens`` (the model's own tokenizer, made once in each task; white space by
+    default); a text beyond ``max_tokens`` is truncated to them and marked so. A null text has only its instruction.
     """
     make = model or hashing_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = make()
+        vectors, (split, join) = make(), tokens()
         for b in batches:
             texts = b.column(1).to_pylist()
-            words = [t.split() for t in texts]
-            x = vectors([t if len(w) <= max_tokens else " ".join(w[:max_tokens]) for t, w in zip(texts, words)]).astype(np.float64)
+            words = [split(t) for t in texts]
+            x = vectors([t if len(w) <= max_tokens else join(w[:max_tokens]) for t, w in zip(texts, words)]).astype(np.float64)
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             x = x / np.where(norm > 0, norm, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), pa.array([len(w) for w in words], pa.int32()), pa.array([len(w) > max_tokens for w in words], pa.bool_())], names=["id", "embedding", "n_tokens", "truncated"])

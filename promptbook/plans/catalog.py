@@ -318,15 +318,16 @@ def cluster_sizes_top8(spark: SparkSession, d: str) -> DataFrame:
     return clusters.sizes(_xy(spark, d, "cluster").where("cluster is not null"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in sorted(T.STOPWORDS))
 _TFIDF_SQL = rf"""
 {_TEXTS_SQL}, {_XY_SQL},
-t AS (SELECT xy.cluster, texts.speech_text FROM xy JOIN texts USING (character_id) WHERE xy.cluster IS NOT NULL),
-w AS (SELECT cluster, term FROM (SELECT cluster, unnest(regexp_extract_all(lower(speech_text), '[\p{{L}}\p{{N}}_]+')) AS term FROM t) WHERE regexp_full_match(term, '[a-z]{{3,}}') AND term NOT IN ({_STOP})),
-tf AS (SELECT cluster, term, count(*) AS tf FROM w GROUP BY 1, 2),
+t AS (SELECT character_id, xy.cluster, texts.speech_text FROM xy JOIN texts USING (character_id) WHERE xy.cluster IS NOT NULL),
+w AS (SELECT character_id, cluster, term FROM (SELECT character_id, cluster, unnest(regexp_extract_all(lower(speech_text), '[\p{{L}}\p{{N}}_]+')) AS term FROM t) WHERE regexp_full_match(term, '[a-z]{{3,}}')),
+common AS (SELECT term FROM w GROUP BY 1 HAVING count(DISTINCT character_id) > 0.2 * (SELECT count(*) FROM t)),
+tf AS (SELECT cluster, term, count(*) AS tf FROM w WHERE term NOT IN (SELECT term FROM common) GROUP BY 1, 2),
 n AS (SELECT count(DISTINCT cluster) AS n FROM t),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-weights AS (SELECT cluster, term, tf, df, tf * (ln((1 + n) / (1 + df)) + 1) AS tfidf FROM tf JOIN df USING (term) CROSS JOIN n WHERE df >= 2 AND df <= 0.95 * n),
+raw AS (SELECT cluster, term, tf, df, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n WHERE df >= 2 AND df <= 0.95 * n),
+weights AS (SELECT cluster, term, tf, df, w / sqrt(sum(w * w) OVER (PARTITION BY cluster)) AS tfidf FROM raw),
 top AS (SELECT * FROM (SELECT cluster, term, tfidf, row_number() OVER (PARTITION BY cluster ORDER BY round(tfidf, 9) DESC, term DESC) AS rank FROM weights) WHERE rank <= 10)"""
 
 
@@ -549,7 +550,8 @@ def embed_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- reports
 def _shown_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _members(spark, d).join(_texts(spark, d), "character_id", "left")
+    plots = documents.one_per_play(table(spark, d, "metadata").select("tcp", "plot"))
+    return _members(spark, d).join(_texts(spark, d), "character_id", "left").join(plots, "tcp", "left")
 
 
 @query()
@@ -591,3 +593,16 @@ def index_page(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_MEMBERS_SQL}, f AS (SELECT *, coalesce(topic_label, '-1: outliers') AS shown FROM m WHERE cluster <> -1), l AS (SELECT DISTINCT shown FROM f), p AS (SELECT shown, row_number() OVER (ORDER BY coalesce(try_cast({_strip('string_split(shown, ' + chr(39) + ':' + chr(39) + ')[1]')} AS BIGINT), 1000000000), shown) - 1 AS place FROM l) SELECT character_id, x, y, CASE WHEN shown = '-1: outliers' THEN 'lightgrey' ELSE {_PALETTE_SQL}[place % {len(facets.PALETTE)} + 1] END AS colour, concat_ws('<br>', {_HOVER}) AS hover FROM f JOIN p USING (shown)")
 def figure_points(spark: SparkSession, d: str) -> DataFrame:
     return reports.figure_points(_members(spark, d))
+
+
+@query(f"WITH {_MEMBERS_SQL}, f AS (SELECT *, coalesce(topic_label, '-1: outliers') AS shown FROM m WHERE cluster <> -1) SELECT shown AS topic_label, count(*) AS n_points, round(sum(x), 4) AS sum_x, round(sum(y), 4) AS sum_y FROM f WHERE x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) GROUP BY 1")
+def figure_traces(spark: SparkSession, d: str) -> DataFrame:
+    """The traces of the figure, read back from their JSON."""
+    traces = reports.figure_traces(_members(spark, d)).select("topic_label", F.from_json("trace", "x array<double>, y array<double>").alias("t"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return traces.groupBy("topic_label").agg(F.sum(F.size("t.x")).alias("n_points"), F.round(F.sum(total("t.x")), 4).alias("sum_x"), F.round(F.sum(total("t.y")), 4).alias("sum_y"))
+
+
+@query(f"WITH {_MEMBERS_SQL}, f AS (SELECT * FROM m WHERE cluster <> -1), v AS ({_AXES_SQL.replace('FROM m', 'FROM f')}), k AS (SELECT * FROM v WHERE decade IS NOT NULL AND {_strip('decade')} <> '' AND lower(decade) <> 'unknown') SELECT axis, count(*) AS n_values FROM k GROUP BY 1")
+def figure_menus(spark: SparkSession, d: str) -> DataFrame:
+    return reports.figure_menus(_members(spark, d)).select("axis", F.size(F.from_json("values", "array<string>")).cast("long").alias("n_values"))

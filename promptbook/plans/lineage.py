@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's ``spark.checkpoint.dir``; only where that is unset, a folder of our own."""
+    """The folder for checkpoints: the session's ``spark.checkpoint.dir``. Only where that is unset and driver and
+    executors are one process, a folder of our own; on a cluster a machine's own folder would not be shared."""
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="promptbook-checkpoint-")
     sc.setCheckpointDir(folder)

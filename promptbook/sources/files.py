@@ -14,7 +14,8 @@ PLAY = T.StructType([T.StructField("tcp", T.StringType()), T.StructField("speech
 
 
 def read_plays(spark: SparkSession, folder: str, glob: str = "A*.json") -> DataFrame:
-    """One JSON object per file with ``tcp`` and ``speeches``; the schema is given, nothing is inferred."""
+    """One JSON object per file with ``tcp`` and ``speeches``; the schema is given, nothing is inferred. ``file``,
+    the name of its file, is the key by which files are ordered (``characters.speeches_of`` numbers speeches by it)."""
     df = spark.read.schema(PLAY).option("multiLine", True).option("pathGlobFilter", glob).json(folder)
     return df.withColumn("file", F.col("_metadata.file_name"))
 
@@ -54,6 +55,25 @@ def read_matrix(spark: SparkSession, path: str, rows_per_task: int = 20_000) ->
     return spark.range(0, shape[0], 1, tasks).withColumnRenamed("id", "row").mapInArrow(run, "row bigint, embedding array<float>")
 
 
+def write_matrix(vectors: DataFrame, path: str, rows_per_batch: int = 20_000) -> int:
+    """Writes ``vectors(id, embedding)`` as a dense .npy matrix of 32-bit numbers in the order of ids, and returns
+    its rows. Rows pass the driver in batches of a partition each; the matrix is never held in memory.
+
+    An empty table and vectors of different lengths are an error: a matrix has a shape.
+    """
+    sizes = vectors.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("a"), F.max(F.size("embedding")).alias("b")).first()
+    if not sizes.n or sizes.a != sizes.b or sizes.a < 1:
+        raise ValueError("a matrix needs rows of one length")
+    parts = max(1, -(-sizes.n // rows_per_batch))
+    out = np.lib.format.open_memmap(path, mode="w+", dtype=np.float32, shape=(sizes.n, sizes.a))
+    at = 0
+    for row in vectors.select("id", "embedding").repartitionByRange(parts, "id").sortWithinPartitions("id").toLocalIterator(prefetchPartitions=False):
+        out[at] = row.embedding
+        at += 1
+    out.flush()
+    return at
+
+
 def read_sheet(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
     """A spreadsheet as strings. Needs openpyxl; where that is missing, convert the sheet to CSV or Parquet first."""
     try:

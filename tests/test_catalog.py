@@ -19,7 +19,7 @@ def test_query_without_sql_gives_rows(spark, small, name):
 
 
 def test_entry(spark):
-    assert e.entry(spark).columns == ["cluster", "rank", "term", "tfidf"]
+    assert e.entry(spark).columns == ["cluster", "n_members", "top_words", "top_characters", "label"]
     assert set(e.oracle_sql()) <= set(e.queries())
 
 

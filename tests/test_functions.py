@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promptbook.functions import text as T
 from promptbook.functions.matching import lcs, token_set_ratio
-from promptbook.functions.roles import clip, read_roles
+from promptbook.functions.roles import parse_roles
 from promptbook.operators.excerpts import HALF, passages
 
 ODD = ["", " ", "a•b  c\n", "Haſ-te, ÉLAN!", "x\x1cy\x85z w", "haſte café abc1 wee'l dog", "İstanbul café _a a_b", "ß ẞ ﬁne Ⅷ", "tab\tand\x0bvertical", "  lead and trail  ", "A" * 5000, "<a href='x'>&amp;\"</a>", "日本語 text ok"]
@@ -25,6 +25,11 @@ def python_match(s):
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", s)).strip().lower()
 
 
+def clip(text, n):
+    head = text[:n]
+    return text if len(text) <= n else (head.rsplit(" ", 1)[0] if " " in head else head) + "…"
+
+
 def test_text_functions_follow_python(spark):
     values = [*ODD, None]
     assert column(spark, T.normalize_for_match) == [python_match(v) for v in values]
@@ -56,11 +61,12 @@ def test_highlight_marks_whole_words_and_keeps_entities(spark):
     assert got == ["<mark>Amp</mark> &amp; Ampere, the <mark>King</mark>&#x27;s <mark>king</mark> kingdom.", "a &lt;b&gt;"]
 
 
-def test_roles():
-    assert read_roles("King JOHN OF GAUNT, uncle; ACT I") == [("JOHN", "OF"), ("GAUNT", "uncle;")]
-    assert read_roles("HENRY III, a king") == [("HENRY III", "a king")]
-    assert read_roles(None) == [] and read_roles("no names") == []
-    assert read_roles("KING, " + "word " * 200)[0][1].endswith("…")
+def test_roles(spark):
+    texts = ["King JOHN OF GAUNT, uncle; ACT I", "HENRY III, a king", "no names", "KING, " + "word " * 200, "ÆNEAS; CAFÉ-KEEPER"]
+    read = [[(r["name"], r["description"]) for r in row] for row in column(spark, parse_roles, texts)]
+    assert read[:3] == [[("JOHN", "OF"), ("GAUNT", "uncle;")], [("HENRY III", "a king")], []]
+    assert read[3][0][1].endswith("word…") and len(read[3][0][1]) <= 401
+    assert read[4] == [("KEEPER", "")] and read[5] == []
 
 
 def brute_lcs(a, b):

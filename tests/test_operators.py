@@ -56,9 +56,19 @@ def test_documents_do_not_fan_out(spark):
 
 
 def test_class_tfidf_keeps_terms_of_exactly_two_of_three(spark):
-    df = spark.createDataFrame([(0, "dagger poison ghost"), (1, "dagger poison lute lute"), (-1, "dagger lute"), (None, "x"), (2, None)], "cluster int, speech_text string")
-    assert {(r.cluster, r.term) for r in clusters.class_tfidf(df).collect()} == {(0, "poison"), (1, "poison"), (1, "lute"), (-1, "lute")}
-    assert clusters.class_tfidf(df.where("cluster = 0")).count() == 0
+    df = spark.createDataFrame([("a", 0, "dagger poison ghost"), ("b", 1, "dagger poison lute lute"), ("c", -1, "dagger lute"), ("d", None, "x"), ("e", 2, None)], "character_id string, cluster int, speech_text string")
+    got = {(r.cluster, r.term): r.tfidf for r in clusters.class_tfidf(df, stopwords=["ghost"]).collect()}
+    assert set(got) == {(0, "poison"), (1, "poison"), (1, "lute"), (-1, "lute")}
+    assert got[0, "poison"] == pytest.approx(1) and got[1, "poison"] ** 2 + got[1, "lute"] ** 2 == pytest.approx(1)
+    assert clusters.class_tfidf(df.where("cluster = 0"), stopwords=[]).count() == 0
+
+
+def test_stop_words_are_learnt_in_any_language(spark):
+    rows = [(f"c{i}", i % 3, f"och det {'krona' if i % 3 else 'svärd'} {'lykta' if i in (1, 2) else ''}") for i in range(60)]
+    df = spark.createDataFrame(rows, "character_id string, cluster int, speech_text string")
+    left = {r.term for r in clusters.class_tfidf(df).collect()}
+    assert left == {"lykta"}
+    assert "krona" in {r.term for r in clusters.class_tfidf(df, stopwords=["och"]).collect()}
 
 
 def test_summary_counts_outliers_as_the_published_rows_do(spark):
@@ -192,3 +202,61 @@ def test_stream_counts_rows_once(spark, small):
     got = spark.sql("SELECT count(*) AS n, count(DISTINCT row_id) AS d FROM late").first()
     want = spark.read.parquet(f"{small}/character_table.parquet").select(F.countDistinct("row_id")).first()[0]
     assert got.n == got.d == want
+
+
+def test_last_token_pooling_with_padding_on_either_side():
+    states = np.arange(24.0).reshape(2, 4, 3)
+    assert (embedding.last_token_pool(states, [[1, 1, 0, 0], [1, 1, 1, 1]]) == states[[0, 1], [1, 3]]).all()
+    assert (embedding.last_token_pool(states, [[0, 1, 1, 1], [0, 0, 1, 1]]) == states[:, 3]).all()
+    model = embedding.pooled_model(lambda: lambda texts: (np.ones((len(texts), 2, 3)), np.ones((len(texts), 2))))
+    assert model()(["a", "b"]).shape == (2, 3)
+
+
+def test_truncation_counts_the_tokens_of_the_given_tokenizer(spark):
+    df = spark.createDataFrame([("a", "abcdef"), ("b", None)], "id string, t string")
+    got = {r.id: r for r in embedding.embed(df, "id", "t", instruction="", max_tokens=24, tokens=lambda: (list, "".join)).collect()}
+    assert got["a"].n_tokens == len("Instruct: \nQuery: abcdef") and not got["a"].truncated
+    assert {r.truncated for r in embedding.embed(df, "id", "t", instruction="", max_tokens=5, tokens=lambda: (list, "".join)).collect()} == {True}
+
+
+def test_matrix_round_trip_and_folders(spark, tmp_path):
+    rows = [(f"v{i:03d}", [float(i), 0.5]) for i in range(50)]
+    df = spark.createDataFrame(rows[::-1], "id string, embedding array<double>")
+    path = str(tmp_path / "m.npy")
+    assert files.write_matrix(df, path, rows_per_batch=7) == 50
+    assert np.array_equal(np.load(path), np.array([r[1] for r in rows], dtype=np.float32))
+    with pytest.raises(ValueError):
+        files.write_matrix(df.limit(0), path)
+    made = config.Paths(tmp_path / "run").make()
+    assert made.data.is_dir() and (made.site / "characters").is_dir()
+    with pytest.raises(FileNotFoundError):
+        made.require("missing.csv")
+
+
+def test_a_play_in_several_files_is_read_in_their_order(spark):
+    df = spark.createDataFrame([("A1", {"x": "late", "z": "last"}, "A1_2.json"), ("A1", {"x": "early", "y": "mid"}, "A1_1.json")], "tcp string, speeches map<string,string>, file string")
+    assert [(r.prefix, r.text) for r in characters.speeches_of(df).orderBy("pos").collect()] == [("x", "late"), ("y", "mid"), ("z", "last")]
+
+
+def test_figure_and_plots(spark, tmp_path):
+    cols = "display_name normalized_name raw_names title author date_decade date_first_performance genre play_type theater theater_type company role_description".split()
+    text = F.lit("word " * 80 + "dagger " + "word " * 400)
+    rows = spark.range(12).select(F.format_string("A1::C%02d", "id").alias("character_id"), F.lit("A1").alias("tcp"), *[F.lit(c).alias(c) for c in cols], F.lit(1600).alias("year"), F.col("id").alias("n_words"), F.col("id").alias("n_chars"), F.lit(1).alias("brit_drama_number"), F.lit(3).alias("cluster"), F.lit("3: dagger").alias("topic_label"), F.lit("dagger, poison").alias("top_words"), F.when(F.col("id") > 0, F.col("id").cast("double")).alias("x"), F.lit(2.0).alias("y"), text.alias("speech_text"), text.alias("plot"))
+    page = reports.cluster_pages(rows).first().html
+    assert '<ul class="plays"><li>title (1600)</li></ul>' in page and "dagger, poison" in page and page.count('class="plot"') == 1
+    assert all('class="plot"' in r.html for r in reports.character_pages(rows).collect())
+    assert 'class="plot"' not in reports.cluster_pages(rows.drop("plot")).first().html
+    traces = [json.loads(r.trace) for r in reports.figure_traces(rows, points=4).collect()]
+    assert sorted(x for t in traces for x in t["x"]) == list(range(1, 12)) and len(traces) > 1
+    reports.write_figure(rows, str(tmp_path / "f.html"))
+    html = (tmp_path / "f.html").read_text()
+    assert html.count("traces.push") == 1 and 'menus["Genre"] = ["genre"]' in html
+
+
+def test_samples_hold_each_value_once(spark):
+    from promptbook.plans.sampling import bounded_sample
+
+    df = spark.range(9000).select(F.when(F.col("id") < 3000, F.lit("same")).otherwise(F.col("id").cast("string")).alias("t"), F.lit(1).alias("other"))
+    got = bounded_sample(df, "t", 100)
+    assert len(got) == len(set(got)) == 100 and got == bounded_sample(df.repartition(7), "t", 100)
+    assert bounded_sample(df.limit(0), "t", 5) == []
