@@ -1,17 +1,21 @@
 """Repairing text from scanned pages (problem 6).
 
-A pass over the rows takes out running titles and page marks, joins words broken at line ends and emits the
-words that no clean text has. Their candidates come from an inverted join over positional character q-grams;
-boosted trees rank the candidates by their frequency, their neighbours and the likelihood of the misreading.
-Two more boosted classifiers, on lines with their neighbours and on the halves of broken words, decide what is
-page furniture and which breaks were hyphens of compounds. All three are fitted on a bounded sample of clean
-texts that ``typeset`` turns into scanned pages with known noise; counts, candidates and decisions cover all data.
+A pass over the rows takes out running titles and page marks, joins words broken at line ends and emits the words
+that are not among the commonest; an exact anti-join leaves those that no clean text has. Their candidates come from
+an inverted join over positional character q-grams; boosted trees rank the candidates by their frequency, their
+neighbours and the likelihood of the misreading. Three more boosted classifiers decide what is page furniture, on
+lines with their neighbours and, in texts without line ends, on marks with the words to either side, and which breaks
+were hyphens of compounds. All are fitted on a bounded sample of clean texts that ``typeset`` turns into scanned pages
+with known noise; counts, candidates and decisions cover all data.
+
+Words of at most seven letters are found by their q-grams that leave out one place, longer ones by two of four segments,
+and words that differ only in letters that scans take for each other by their common shape, however many these are.
+So one wrong letter in a short word, two in a long one and any number of usual misreadings are repaired.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,8 +31,10 @@ from promptbook.plans.sampling import bounded_sample
 
 #: Clean texts from which the classifiers are fitted, at most, and words that stand for the vocabulary meanwhile.
 SAMPLE_TEXTS, SAMPLE_WORDS = 1500, 20_000
-#: Bits of the filter of known words that tasks carry: a fixed 4 MB whatever the data.
-FILTER_BITS = 1 << 25
+#: Words, at most, that tasks carry to leave out early what is certainly known; all others are settled by a join.
+COMMON_WORDS = 100_000
+#: Least score of the best candidate of a form that cannot be right, as it has a digit or the sign of an illegible letter.
+SIGN_SCORE = 0.05
 
 #: Marks that printers and scanners leave where a word is broken, and the sign for an illegible letter: fixed values.
 BREAKS = "-‐⸗=¬­"
@@ -54,6 +60,10 @@ _CAPITAL = re.compile(r"(?<!\S)[A-ZÀ-Þ]")
 _TOKEN = re.compile(rf"[\w{MISSING}]+(?:-[\w{MISSING}]+)*|\x01")
 _DIGITS = re.compile(r"\d+")
 _ANY_DIGIT = re.compile(r"\d")
+_BEFORE = re.compile(rf"([\w{MISSING}]+(?:-[\w{MISSING}]+)*)([^\w{MISSING}]*)$")
+_AFTER = re.compile(rf"[^\w{MISSING}]*([\w{MISSING}]+(?:-[\w{MISSING}]+)*)")
+#: Stands for any number among the neighbours of words.
+NUMBER = "#"
 _NUMBER = re.compile(r"\[?\d{1,4}\]?[.,]?")
 
 
@@ -128,25 +138,59 @@ def line_features(lines: list[str], i: int, known, near: tuple[int, list[str], l
 LINE_FEATURES = 11
 
 
-class Filter:
-    """Bloom filter of the known words with a memory of the answers given so far."""
+def mark_form(piece: str) -> float:
+    """The kind of a page mark: a bare number, in brackets, between dashes, of a named leaf, of a sheet, a Roman number."""
+    if piece.isdigit():
+        return 0.0
+    if piece[0] == "[":
+        return 1.0
+    if piece[0] in "-—–":
+        return 2.0
+    return 5.0 if piece[0].islower() and piece[0] in "ivxlc" else 4.0 if piece[0].isupper() and _ANY_DIGIT.search(piece[1:3]) else 3.0
+
+
+def inline_marks(raw: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, str, str]]]:
+    """Of a text without line ends the spans of runs that may be a title, and ``(start, end, before, after, look)`` of what
+    may be a page mark outside of these: the words to either side, and how the mark stands between them."""
+    titles: list[tuple[int, int]] = []
+    for m in _TITLE_INLINE.finditer(raw):
+        a, e = m.span()
+        if before := _NUMBER_BEFORE.search(squeeze(raw[max(0, a - 14) : a]) + " "):
+            a = raw.rindex(before.group().strip(), 0, a)
+        if after := _NUMBER_AFTER.match(raw[e : e + 12]):
+            e += len(after.group())
+        if len(title_key(m.group())) > 6:
+            titles.append((a, e))
+    marks, k = [], 0
+    for m in _PAGE_INLINE.finditer(raw):
+        a, e = m.span()
+        while k < len(titles) and titles[k][1] <= a:
+            k += 1
+        if k < len(titles) and titles[k][0] < e:
+            continue
+        left, right = _BEFORE.search(raw[max(0, a - 60) : a]), _AFTER.match(raw[e : e + 60])
+        stop = left.group(2).strip()[-1:] if left else ""
+        look = f"{mark_form(m.group()):.0f}{2 if stop and stop in BREAKS else 1 if stop else 0}{0 if not right else 1 if right.group(1)[0].islower() else 2}"
+        word = lambda g: NUMBER if g.isdigit() else plain(g)
+        marks.append((a, e, word(left.group(1)) if left else "", word(right.group(1)) if right else "", look))
+    return titles, marks
+
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.seen = bits, {}
+def mark_features(look: str, before: str, after: str, n_between: float, n_before_number: float, n_number_after: float, n_before: float, n_after: float) -> list[float]:
+    """A mark with its neighbours: a number that belongs to the text stands in place of a word, one of a page between two
+    words that go together. Counts are bounded, so that they mean the same in a sample and in a large collection."""
+    form, stop, case = (float(x) for x in look)
+    sign = lambda w: float(MISSING in w or bool(_ANY_DIGIT.search(w)))
+    return [form, stop, case, min(n_between, 3.0), min(n_before_number, 3.0), min(n_number_after, 3.0), float(n_before > 0), float(n_after > 0), sign(before), sign(after)]
 
-    def __call__(self, word: str) -> bool:
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) > 500_000:
-                self.seen.clear()
-            got = self.seen[word] = all(self.bits[p >> 6] >> np.uint64(p & 63) & np.uint64(1) for p in filter_places(word))
-        return bool(got)
 
+#: Length of what ``mark_features`` returns.
+MARK_FEATURES = 10
 
-def filter_places(word: str) -> list[int]:
-    raw = word.encode()
-    a, b = zlib.crc32(raw), zlib.crc32(raw[::-1] + b"#") | 1
-    return [(a + i * b) % FILTER_BITS for i in range(4)]
+
+def looks_set_apart(line: str) -> bool:
+    """Very short, with a digit, or with as many capitals as a title."""
+    return len(line) < 10 or bool(_ANY_DIGIT.search(line)) or len(_CAPITAL.findall(line)) * 2 >= line.count(" ") + 1
 
 
 def page_lines(text: str, known) -> tuple[list[str], list[int], list[list[float]]]:
@@ -154,56 +198,43 @@ def page_lines(text: str, known) -> tuple[list[str], list[int], list[list[float]
     lines = [x.strip() for x in text.replace("\r", "").split("\n")]
     if len(lines) == 1:
         return lines, [], []
-    suspects = [i for i, x in enumerate(lines) if x and (len(x) < 10 or _ANY_DIGIT.search(x) or len(_CAPITAL.findall(x)) * 2 >= x.count(" ") + 1)]
-    near = around(lines) if suspects else None
+    near = around(lines)
+    suspects = [i for i, x in enumerate(lines) if x and (len(x) < 0.8 * near[0] or looks_set_apart(x)) and not (x[-1] in BREAKS and x[-2:-1].isalpha())]
     return lines, suspects, [line_features(lines, i, known, near) for i in suspects]
 
 
-def read_page(text: str, known, lines: list[str], furniture: dict[int, float]) -> list[tuple[str, str, str, str]]:
-    """``(kind, piece, left, right)`` of a text, given its lines and how likely these are furniture: ``page_no``; ``title`` (a running title as it stands, with its key
-    to be confirmed where the text has no line ends); ``hyphen`` with both halves; ``word`` (an unknown word with
-    its neighbours); ``furniture``, lines taken for a running title by the line classifier."""
-    out: list[tuple[str, str, str, str]] = []
+def completes(body: list[str], line: str, known) -> bool:
+    """Whether the line begins with the rest of a word that the line before breaks, the whole being a common one."""
+    before = next((x for x in reversed(body) if x), "")
+    left, right = (_LAST.search(before[:-1]), _WORD.match(line)) if before[-1:] and before[-1] in BREAKS else (None, None)
+    return bool(left and right) and known(plain(left.group() + right.group()))
+
+
+def read_page(text: str, known, lines: list[str], furniture: dict[int, float]) -> list[tuple[str, str, str, str, str]]:
+    """``(kind, piece, left, right, look)`` of a text, given its lines and how likely these are furniture: ``page_no``;
+    ``furniture``, lines taken for a running title by the line classifier, with their key; ``title`` and ``mark``, what may
+    be a title or a page mark where the text has no line ends, to be judged with its neighbours; ``hyphen`` with both
+    halves; ``word`` (a word not among the commonest with its neighbours)."""
+    out: list[tuple[str, str, str, str, str]] = []
     raw = text.replace("\r", "")
     if len(lines) > 1:
         body = []
         for i, x in enumerate(lines):
-            if furniture.get(i, 0.0) > 0.5:
+            if furniture.get(i, 0.0) > (0.5 if looks_set_apart(x) else 0.75) and not completes(body, x, known):
                 if _PAGE_LINE.fullmatch(x):
-                    out.append(("page_no", squeeze(x), "", ""))
+                    out.append(("page_no", squeeze(x), "", "", ""))
                     continue
                 if any(c.isalpha() for c in x):
-                    out.append(("furniture", squeeze(x), title_key(x), ""))
+                    out.append(("furniture", squeeze(x), title_key(x), "", ""))
                     continue
             body.append(x)
         whole, broken = "\n".join(body), _BREAK_LINE
     else:
-        spans: list[tuple[int, int]] = []
-        for m in _TITLE_INLINE.finditer(raw):
-            a, e = m.span()
-            piece = m.group()
-            if before := _NUMBER_BEFORE.search(squeeze(raw[max(0, a - 14) : a]) + " "):
-                a = raw.rindex(before.group().strip(), 0, a)
-            if after := _NUMBER_AFTER.match(raw[e : e + 12]):
-                e += len(after.group())
-            key = title_key(piece)
-            if len(key) > 6:
-                out.append(("title", squeeze(raw[a:e]), key, ""))
-                spans.append((a, e))
-        titles, k = spans, 0
-        spans = list(titles)
-        for m in _PAGE_INLINE.finditer(raw):
-            a, e = m.span()
-            while k < len(titles) and titles[k][1] <= a:
-                k += 1
-            if k < len(titles) and titles[k][0] < e:
-                continue
-            if m.group().isdigit() and re.search(r"\b(?:year|yeare|anno)\s*$", raw[max(0, a - 8) : a], re.I):
-                continue
-            out.append(("page_no", squeeze(m.group()), "", ""))
-            spans.append((a, e))
+        titles, marks = inline_marks(raw)
+        out += [("title", squeeze(raw[a:e]), title_key(raw[a:e]), "", "") for a, e in titles]
+        out += [("mark", squeeze(raw[a:e]), before, after, look) for a, e, before, after, look in marks]
         rest, at = [], 0
-        for a, e in sorted(spans):
+        for a, e in sorted(titles + [m[:2] for m in marks]):
             rest.append(raw[at:a].strip())
             at = max(at, e)
         rest.append(raw[at:].strip())
@@ -219,48 +250,87 @@ def read_page(text: str, known, lines: list[str], furniture: dict[int, float]) -
             kept += [whole[at : at + left.start()], "\x01"]
             at = right.end()
     whole = "".join([*kept, whole[at:]])
-    out += [("hyphen", "", a, b) for a, b in sorted(halves)]
-    tokens = _TOKEN.findall(plain(whole))
+    out += [("hyphen", "", a, b, "") for a, b in sorted(halves)]
+    tokens = [NUMBER if t.isdigit() else t for t in _TOKEN.findall(plain(whole))]
     for i, w in enumerate(tokens):
-        if not known(w) and w != "\x01" and not w.isdigit() and any(c.isalpha() for c in w):
-            out.append(("word", w, tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""))
+        if not known(w) and w not in ("\x01", NUMBER) and any(c.isalpha() for c in w):
+            out.append(("word", w, tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else "", ""))
     return out
 
 
-def _ends(kind: str, n: int, q: int, word: str) -> list[str]:
-    """Keys of the first and the last q-gram of a word, for words of ``n`` letters."""
-    return [f"{kind}{n}s{word[:q]}", f"{kind}{n}e{word[len(word) - q :]}"] if 0 < q <= len(word) else []
+#: Words up to this length are found by q-grams without one place, longer ones by two of their four segments.
+SHORT_WORD = 7
+_RESIZED = tuple(sorted((x, y) for x, y in MISREAD if len(x) != len(y)))
 
 
-def index_keys(word: str) -> list[str]:
-    """Keys of a known word: the q-grams at its two ends, of half its length. One misreading leaves one of them whole;
-    where it changes the length it may take two letters, so the grams leave a letter between them then."""
-    n = len(word)
-    return _ends("=", n, n // 2, word) + _ends("~", n, max(1, (n - 1) // 2), word)
+def _classes() -> dict[int, str]:
+    """Of letters that scans take for each other, each is mapped to the first of its class."""
+    root: dict[str, str] = {}
 
+    def find(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
 
-def probe_keys(word: str) -> list[str]:
-    """Keys under which words one misreading away from ``word`` are found; q-grams with an illegible letter are left out."""
+    for x, y in sorted(MISREAD):
+        if len(x) == len(y):
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+    return {ord(c): find(c) for c in root}
+
+
+_CLASS = _classes()
+
+
+def shape(word: str) -> str:
+    """The same for all words that differ only in letters taken for each other."""
+    return word.translate(_CLASS)
+
+
+def _grams(word: str) -> list[str]:
+    """Positional q-grams of a word, with its length: all places but one, or two of four segments."""
     n = len(word)
-    keys = _ends("=", n, n // 2, word) + [k for m in (n - 1, n + 1) for k in _ends("~", m, max(1, (m - 1) // 2), word) if m > 1]
-    return [k for k in keys if MISSING not in k]
+    if n <= SHORT_WORD:
+        return [f"{n}.{i}.{word[:i]}.{word[i + 1 :]}" for i in range(n)] if n > 1 else []
+    at = [n * i // 4 for i in range(5)]
+    parts = [word[at[i] : at[i + 1]] for i in range(4)]
+    return [f"{n}.{i}{j}.{parts[i]}.{parts[j]}" for i in range(4) for j in range(i + 1, 4)]
 
 
-def misreading(read: str, printed: str) -> tuple[str, str, int] | None:
-    """The one place where two words differ: what was read, what was printed, and where; None if there are more."""
+def index_keys(word: str) -> list[str]:
+    """Keys of a known word: itself, its shape and its q-grams."""
+    return [f"={word}", f"~{shape(word)}", *_grams(word)]
+
+
+def probe_keys(word: str) -> list[str]:
+    """Keys under which the words that ``word`` may be a misreading of are found: the words with one misread pair of letters
+    set right, its shape and its q-grams; q-grams with an illegible letter are left out."""
+    keys = [k for k in _grams(word) if MISSING not in k]
+    if MISSING not in word:
+        keys.append(f"~{shape(word)}")
+        keys += [f"={word[:i]}{y}{word[i + len(x) :]}" for x, y in _RESIZED for i in range(len(word)) if word.startswith(x, i)]
+    return list(dict.fromkeys(keys))
+
+
+def misreading(read: str, printed: str) -> list[tuple[str, str, int]] | None:
+    """Where two words differ: what was read, what was printed, and where. None if they are equal or differ in more than one
+    letter of a short word or two of a long one, unless all are usual misreadings, or in their length by an unusual one."""
     n, m = len(read), len(printed)
+    if n == m:
+        found = [(x, y, i) for i, (x, y) in enumerate(zip(read, printed)) if x != y]
+        usual = all(x == MISSING or (x, y) in MISREAD for x, y, _ in found)
+        most = max(2, n // 3) if usual else 1 if n <= SHORT_WORD else 2
+        return found if 0 < len(found) <= most and len(found) < n else None
     i = 0
     while i < min(n, m) and read[i] == printed[i]:
         i += 1
     j = 0
     while j < min(n, m) - i and read[n - 1 - j] == printed[m - 1 - j]:
         j += 1
-    x, y = read[i : n - j], printed[i : m - j]
-    if not x or not y:
-        # one of the equal letters belongs to the change
-        return None
-    if len(x) == 1 and len(y) == 1 or (len(x), len(y)) in ((1, 2), (2, 1)) and (x, y) in MISREAD:
-        return x, y, i
+    for start in range(max(0, i - 1), i + 1):  # one of the equal letters may belong to the change
+        x, y = read[start : n - j], printed[start : m - j]
+        if (x, y) in MISREAD:
+            return [(x, y, start)]
     return None
 
 
@@ -268,9 +338,15 @@ def rank_features(form: str, printed: str, n_form: float, n_printed: float, n_be
     got = misreading(form, printed)
     if got is None:
         return None
-    x, y, at = got
-    kind = 3.0 if x == MISSING else 2.0 if (x, y) in MISREAD else 1.0 if x.isdigit() else 0.0
-    return [kind, np.log1p(n_printed), np.log1p(n_before), np.log1p(n_after), float(at == 0), float(at + len(x) == len(form)), float(len(form)), np.log1p(n_form) - np.log1p(n_printed), n_rivals, float(len(x) != len(y))]
+    missing = sum(x == MISSING for x, _, _ in got)
+    usual = sum((x, y) in MISREAD for x, y, _ in got)
+    digits = sum(x.isdigit() and (x, y) not in MISREAD for x, y, _ in got)
+    first, last = got[0], got[-1]
+    return [missing, usual, digits, len(got) - missing - usual - digits, np.log1p(n_printed), np.log1p(n_before), np.log1p(n_after), float(first[2] == 0), float(last[2] + len(last[0]) == len(form)), float(len(form)), np.log1p(n_form) - np.log1p(n_printed), n_rivals, float(len(form) != len(printed))]
+
+
+#: Length of what ``rank_features`` returns.
+RANK_FEATURES = 13
 
 
 def _roman(n: int) -> str:
@@ -296,6 +372,11 @@ def typeset(text: str, title: str, rng: np.random.Generator) -> tuple[list[str],
     if rng.random() < 0.5 and len(source) > 8:
         i = int(rng.integers(1, len(source) - 1))
         source[i:i] = ["in", "the", "year", f"{int(rng.integers(1500, 1700))},"]
+    if rng.random() < 0.35 and len(source) > 8:  # a number that belongs to the text stands in place of a word
+        i = int(rng.integers(1, len(source) - 1))
+        source[i] = str(int(rng.integers(2, 150)))
+        if rng.random() < 0.5 and source[i + 1].isalpha():  # before a word that the vocabulary may lack
+            source[i + 1] = "".join(source[i + 1][int(k)] for k in rng.permutation(len(source[i + 1]))).lower()
     for word in source:
         if rng.random() < 0.02 and not any(c.isdigit() for c in word):
             word = smudge(word)
@@ -321,11 +402,12 @@ def typeset(text: str, title: str, rng: np.random.Generator) -> tuple[list[str],
         flags.append(0)
         if rng.random() < 0.12:
             n = int(rng.integers(1, 150))
-            name = title.upper() if rng.random() < 0.4 else title
+            case = rng.random()
+            name = title.upper() if case < 0.4 else title.lower() if case > 0.9 else title
             if rng.random() < 0.2:
                 name = " ".join(smudge(p) if rng.random() < 0.4 else p for p in name.split())
             letter, low = "ABCDEFGHK"[int(rng.integers(9))], _roman(n)
-            forms = [name, f"{name}.", f"{name} {n}", f"{n} {name}", f"{name}. [{n}]", f"{name} [{n}]", f"[{n}]", f"- {n} -", f"Page {n}", f"Pag. {n}", f"fol. {n}", str(n), f"{letter}{n % 4 + 1}", f"{letter}{n % 4 + 1}.", f"{low}."]
+            forms = [name, f"{name}.", f"{name} {n}", f"{n} {name}", f"{name}. [{n}]", f"{name} [{n}]", f"[{n}]", f"- {n} -", f"Page {n}", f"Pag. {n}", f"fol. {n}", *[str(n)] * 3, f"{letter}{n % 4 + 1}", f"{letter}{n % 4 + 1}.", f"{low}."]
             extra = forms[int(rng.integers(len(forms)))]
             lines.append(extra)
             flags.append(1)
@@ -335,65 +417,84 @@ def typeset(text: str, title: str, rng: np.random.Generator) -> tuple[list[str],
     return lines, flags, breaks
 
 
+def mark_samples(lines: list[str], flags: list[int]) -> list[tuple[str, str, str, int]]:
+    """``(before, after, look, whether it is furniture)`` of what may be a page mark once the lines run on."""
+    ends, at = [], 0
+    for x in lines:
+        ends.append((at, at + len(x)))
+        at += len(x) + 1
+    spans = [s for s, f in zip(ends, flags) if f]
+    out = []
+    for a, e, before, after, look in inline_marks(" ".join(lines))[1]:
+        out.append((before, after, look, int(any(lo <= a and e <= hi for lo, hi in spans))))
+    return out
+
+
 def fit_models(texts: list[str], titles: list[str], seed: int = 5):
-    """Line, join and candidate classifiers from clean texts (at most SAMPLE_TEXTS) set with known noise."""
+    """Line, mark, join and candidate classifiers from clean texts (at most SAMPLE_TEXTS) set with known noise."""
     rng = np.random.default_rng(seed)
     words = Counter(w for t in texts for w in (plain(x) for x in _WORD.findall(t)) if not w.isdigit())
     words = Counter(dict(sorted(words.items(), key=lambda kv: (-kv[1], kv[0]))[:SAMPLE_WORDS]))
-    titles = titles or ["The Tragedy of the Prince", "A Merry Play"]
-    line_x, line_y, join_x, join_y, rank_x, rank_y = [], [], [], [], [], []
+    titles = [t for t in titles if len(title_key(t)) > 6] or ["The Tragedy of the Prince", "A Merry Play"]
+    line_x, line_y, mark_x, mark_y, join_x, join_y, rank_x, rank_y = [], [], [], [], [], [], [], []
     pairs: Counter = Counter()
     streams = []
     for t in texts:
-        s = [plain(x) for x in _WORD.findall(t)]
+        s = [NUMBER if x.isdigit() else plain(x) for x in _WORD.findall(t)]
         streams.append(s)
         pairs.update(zip(s, s[1:]))
     known = words.__contains__
-    for k, t in enumerate(texts):
+    few = max(1, min(8, 600 // max(1, len(texts))))  # a small sample is set several times
+    for k, t in enumerate(texts * few):
         lines, flags, breaks = typeset(t, titles[k % len(titles)], rng)
         near = around(lines)
         for i, f in enumerate(flags):
             if f or rng.random() < 0.15:
                 line_x.append(line_features(lines, i, known, near))
                 line_y.append(f)
+        for a, b, look, y in mark_samples(lines, flags):
+            mark_x.append(mark_features(look, a, b, max(0, pairs[a, b] - y), pairs[a, NUMBER], pairs[NUMBER, b], words[a], words[b]))  # without the text's own pair
+            mark_y.append(y)
         for a, b, y in breaks:
             join_x.append(join_features(words.get(a + b, 0), words.get(f"{a}-{b}", 0), words.get(a, 0), words.get(b, 0)))
             join_y.append(y)
-    by_shape: dict[str, list[str]] = {}
+    by_key: dict[str, list[str]] = {}
     for w in words:
-        for i in range(len(w)):
-            by_shape.setdefault(w[:i] + "\x00" + w[i + 1 :], []).append(w)
+        for key in index_keys(w):
+            by_key.setdefault(key, []).append(w)
     letters = sorted({c for w in words for c in w if c.isalpha()}) or ["e"]
     rare = sorted(words, key=lambda w: (words[w], w))[: len(words) // 4]
     unseen = set(rare[i] for i in rng.permutation(len(rare))[: len(rare) // 2])
-    wrong = [(x, y) for x, y in sorted(MISREAD) if len(x) == len(y)]
     swaps: dict[str, list[str]] = {}
-    for x, y in wrong:
-        swaps.setdefault(y, []).append(x)
+    for x, y in sorted(MISREAD):
+        if len(x) == len(y):
+            swaps.setdefault(y, []).append(x)
+
+    def smear(word: str) -> str:
+        i = int(rng.integers(len(word)))
+        r = rng.random()
+        options = [j for j, c in enumerate(word) if c in swaps]
+        if r < 0.35:
+            return word[:i] + MISSING + word[i + 1 :]
+        if options and r < 0.92:
+            i = options[int(rng.integers(len(options)))]
+            return word[:i] + swaps[word[i]][int(rng.integers(len(swaps[word[i]])))] + word[i + 1 :]
+        return word[:i] + letters[int(rng.integers(len(letters)))] + word[i + 1 :]
+
     for s in streams:
         if len(s) < 4 or len(rank_x) > 60_000:
             continue
         for p in rng.integers(1, len(s) - 1, size=6):
             truth = s[p]
-            if len(truth) < 2 or truth not in words or truth.isdigit():
+            if len(truth) < 2 or truth not in words:
                 continue
-            form, real = truth, False
-            if truth in unseen:  # a word of its own that the vocabulary lacks
-                real = True
-            else:
-                i = int(rng.integers(len(truth)))
-                r = rng.random()
-                options = [j for j, c in enumerate(truth) if c in swaps]
-                if r < 0.35:
-                    form = truth[:i] + MISSING + truth[i + 1 :]
-                elif options and r < 0.92:
-                    i = options[int(rng.integers(len(options)))]
-                    form = truth[:i] + swaps[truth[i]][int(rng.integers(len(swaps[truth[i]])))] + truth[i + 1 :]
-                else:
-                    form = truth[:i] + letters[int(rng.integers(len(letters)))] + truth[i + 1 :]
+            real = truth in unseen  # a word of its own that the vocabulary lacks
+            form = truth if real else smear(truth)
+            if not real and len(truth) > 3 and rng.random() < 0.12:
+                form = smear(form)
             if form in words and not real:
                 continue
-            rivals = {c for i in range(len(form)) for c in by_shape.get(form[:i] + "\x00" + form[i + 1 :], ()) if c != form and c not in unseen}
+            rivals = {c for key in probe_keys(form) for c in by_key.get(key, ()) if c not in unseen and misreading(form, c)}
             for c in sorted(rivals):
                 before, after = pairs.get((s[p - 1], c), 0) - (c == truth), pairs.get((c, s[p + 1]), 0) - (c == truth)
                 f = rank_features(form, c, words[truth] if real else 1 + words[truth] * 0.002, words[c], max(0, before), max(0, after), len(rivals))
@@ -401,7 +502,7 @@ def fit_models(texts: list[str], titles: list[str], seed: int = 5):
                     rank_x.append(f)
                     rank_y.append(int(c == truth and not real))
     fit = lambda x, y, d: Boosted().fit(np.array(x or [[0.0] * d] * 2), np.array(y or [0, 1]))
-    return fit(line_x, line_y, LINE_FEATURES), fit(join_x, join_y, 5), fit(rank_x, rank_y, 10)
+    return fit(line_x, line_y, LINE_FEATURES), fit(mark_x, mark_y, MARK_FEATURES), fit(join_x, join_y, 5), fit(rank_x, rank_y, RANK_FEATURES)
 
 
 def join_features(n_joined: float, n_hyphen: float, n_left: float, n_right: float) -> list[float]:
@@ -414,23 +515,16 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         pairs: Counter = Counter()
         for t in b.column(0).to_pylist():
-            s = _WORD.findall(t.lower().replace("ſ", "s"))
+            s = [NUMBER if w.isdigit() else w for w in _WORD.findall(t.lower().replace("ſ", "s"))]
             words.update(s)
             pairs.update(zip(s, s[1:]))
-        rows = [(w, "", n) for w, n in words.items() if not w.isdigit() and MISSING not in w and any(c.isalpha() for c in w)] + [(x, y, n) for (x, y), n in pairs.items()]
+        rows = [(w, "", n) for w, n in words.items() if MISSING not in w and any(c.isalpha() for c in w)] + [(x, y, n) for (x, y), n in pairs.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["word", "next", "n"])
 
 
-def _place_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = np.array([p for w in b.column(0).to_pylist() for p in filter_places(w)], dtype=np.int64)
-        bit = (np.uint64(1) << (at & 63).astype(np.uint64)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(bit)], names=["cell", "bit"])
-
-
-def _read_rows(bits, model):
+def _read_rows(common, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter(bits.value)
+        known = common.value.__contains__
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             ids, tcps, texts = (b.column(i).to_pylist() for i in range(3))
             pages = [page_lines(t, known) for t in texts]
@@ -440,7 +534,21 @@ def _read_rows(bits, model):
                 furniture = dict(zip(suspects, scores[at : at + len(suspects)]))
                 at += len(suspects)
                 rows += [(r, p, *e) for e in read_page(t, known, lines, furniture)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], b.column(0).type), *(pa.array([x[i] for x in rows], pa.string()) for i in range(1, 6))], names=["row_id", "tcp", "kind", "piece", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], b.column(0).type), *(pa.array([x[i] for x in rows], pa.string()) for i in range(1, 7))], names=["row_id", "tcp", "kind", "piece", "a", "b", "look"])
+
+    return run
+
+
+def _judge_marks(model):
+    """The contexts of marks that are page furniture."""
+    counts = ("n_between", "n_before_number", "n_number_after", "n_before", "n_after")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            looks, before, after = (b.column(n).to_pylist() for n in ("look", "a", "b"))
+            x = [mark_features(*row) for row in zip(looks, before, after, *(b.column(n).to_pylist() for n in counts))]
+            keep = model.predict(np.array(x, float).reshape(-1, MARK_FEATURES)) > 0.5
+            yield b.select(["look", "a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -492,21 +600,37 @@ def find_repairs(pages: DataFrame, clean: DataFrame, metadata: DataFrame) -> Dat
     vocabulary = counts.where("next = ''").select("word", "n")
     pairs = counts.where("next <> ''").select("word", "next", "n")
 
-    cells = vocabulary.select("word").mapInArrow(_place_bits, "cell int, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    bits[np.asarray(cells["cell"])] = np.asarray(cells["bits"], dtype=np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bits)  # 4 MB whatever the data
+    # the least count that at most COMMON_WORDS words reach; counts are gathered by their size, at most some hundred rows
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    sizes = sorted(((r.step, r.k) for r in vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    held, least = 0, float("inf")
+    for size, k in sizes:
+        held += k
+        if held > COMMON_WORDS:
+            break
+        least = size
+    common = frozenset(r.word for r in vocabulary.where(step >= least).select("word").toLocalIterator()) if least < float("inf") else frozenset()
+    shared = spark.sparkContext.broadcast(common)  # at most COMMON_WORDS words
 
     sample = bounded_sample(source.where(F.length("speech_text") < 20_000), "speech_text", SAMPLE_TEXTS)
     titles = metadata.where("tcp is not null and title is not null").groupBy("tcp").agg(F.max(F.trim("title")).alias("title"))
     some = bounded_sample(titles, "title", SAMPLE_TEXTS)
-    line_model, join_model, rank_model = fit_models(sample, some)
+    line_model, mark_model, join_model, rank_model = fit_models(sample, some)
 
     once = pages.where("row_id is not null and speech_text is not null").groupBy("row_id").agg(F.max(F.struct("speech_text", "tcp")).alias("r")).select("row_id", F.coalesce("r.tcp", F.lit("")).alias("tcp"), "r.speech_text")
     kind = dict(pages.dtypes)["row_id"]
-    found = cut(once.mapInArrow(_read_rows(shared, line_model), f"row_id {kind}, tcp string, kind string, piece string, a string, b string"))
-
-    page_no = found.where("kind = 'page_no'").select("row_id", "kind", "piece")
+    found = cut(once.mapInArrow(_read_rows(shared, line_model), f"row_id {kind}, tcp string, kind string, piece string, a string, b string, look string"))
+
+    # page marks without line ends: with how often the words around them go together, and with numbers, in the clean texts
+    marks = found.where("kind = 'mark'")
+    places = marks.select("look", "a", "b").distinct()
+    asked_for = [("n_between", "a", "b"), ("n_before_number", "a", NUMBER), ("n_number_after", NUMBER, "b"), ("n_before", "a", ""), ("n_after", "b", "")]
+    side = lambda c: F.col(c) if c in ("a", "b") else F.lit(c)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), side(x).alias("word"), side(y).alias("next")) for name, x, y in asked_for])).alias("w")
+    counted = places.select("look", "a", "b", wanted).select("look", "a", "b", "w.*").join(counts, ["word", "next"], "left")
+    counted = counted.groupBy("look", "a", "b").agg(*[F.coalesce(F.max(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).alias(name) for name, _, _ in asked_for])
+    foreign = counted.mapInArrow(_judge_marks(mark_model), "look string, a string, b string")
+    page_no = found.where("kind = 'page_no'").select("row_id", "kind", "piece").unionByName(marks.join(foreign, ["look", "a", "b"]).select("row_id", F.lit("page_no").alias("kind"), "piece"))
     # running titles: by the play's title, or, where the metadata lack it, by the commonest such line or run of its pages
     lines = found.where("kind = 'furniture'")
     own = titles.select("tcp", F.col("title"))
@@ -516,7 +640,8 @@ def find_repairs(pages: DataFrame, clean: DataFrame, metadata: DataFrame) -> Dat
     header = checked.mapInArrow(_confirm_lines, f"row_id {kind}, kind string, piece string")
     inline = found.where("kind = 'title'").join(keyed, "tcp").mapInArrow(_match_titles, f"row_id {kind}, kind string, piece string")
 
-    words = found.where("kind = 'word'").select("row_id", F.lit("char").alias("source"), F.col("piece").alias("form"), F.col("a").alias("before"), F.col("b").alias("after")).distinct()
+    unknown = found.where("kind = 'word'").join(vocabulary.select(F.col("word").alias("piece")), "piece", "left_anti")
+    words = unknown.select("row_id", F.lit("char").alias("source"), F.col("piece").alias("form"), F.col("a").alias("before"), F.col("b").alias("after")).distinct()
     broken = found.where("kind = 'hyphen'").select("row_id", F.col("a").alias("left"), F.col("b").alias("right")).distinct()
     n_of = lambda name: vocabulary.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
     halves = broken.select("left", "right").distinct().withColumn("joined", F.concat("left", "right")).withColumn("hyphen", F.concat_ws("-", "left", "right"))
@@ -528,8 +653,9 @@ def find_repairs(pages: DataFrame, clean: DataFrame, metadata: DataFrame) -> Dat
     doubtful = whole.where("not sure").select("row_id", F.lit("hyphen").alias("source"), F.col("whole").alias("form"), F.lit("").alias("before"), F.lit("").alias("after")).distinct()
     occurrences = cut(words.unionByName(doubtful))
     forms = occurrences.groupBy("form").agg(F.count("*").alias("n_form"))
-    probes = forms.mapInArrow(_keys_of(probe_keys), "form string, n_form bigint, key string")
-    index = vocabulary.select(F.col("word").alias("printed"), F.col("n").alias("n_printed")).mapInArrow(_keys_of(index_keys), "printed string, n_printed bigint, key string")
+    hashed = lambda df: df.withColumn("key", F.xxhash64("key"))
+    probes = hashed(forms.mapInArrow(_keys_of(probe_keys), "form string, n_form bigint, key string"))
+    index = hashed(vocabulary.select(F.col("word").alias("printed"), F.col("n").alias("n_printed")).mapInArrow(_keys_of(index_keys), "printed string, n_printed bigint, key string"))
     close = probes.join(index, "key").drop("key").distinct().mapInArrow(_candidates, "form string, n_form bigint, printed string, n_printed bigint")
     close = cut(close.withColumn("n_rivals", F.count("*").over(W.partitionBy("form"))))
     asked = occurrences.join(close, "form")
@@ -538,7 +664,7 @@ def find_repairs(pages: DataFrame, clean: DataFrame, metadata: DataFrame) -> Dat
     scored = asked.mapInArrow(_rank(rank_model), f"row_id {kind}, source string, form string, before string, after string, printed string, score double")
     best = scored.groupBy("row_id", "source", "form", "before", "after").agg(F.max(F.struct("score", "printed")).alias("b"))
     sign = F.col("form").contains(MISSING) | F.col("form").rlike(r"\d")
-    repaired = cut(best.where((F.col("b.score") > 0.5) | (sign & (F.col("b.score") > 0.05))).select("row_id", "source", "form", F.col("b.printed").alias("piece")))
+    repaired = cut(best.where((F.col("b.score") > 0.5) | (sign & (F.col("b.score") > SIGN_SCORE))).select("row_id", "source", "form", F.col("b.printed").alias("piece")))
     char = repaired.where("source = 'char'").select("row_id", F.lit("char").alias("kind"), "piece")
     fixed = repaired.where("source = 'hyphen'").select("row_id", F.col("form").alias("whole"), F.col("piece").alias("right_word"))
     hyphen = whole.join(fixed, ["row_id", "whole"], "left").select("row_id", F.lit("hyphen").alias("kind"), F.coalesce("right_word", "whole").alias("piece"), (F.col("right_word").isNotNull()).alias("misread"))

@@ -58,10 +58,72 @@ def test_empty_tables_and_very_long_texts(spark, clean):
     assert (1, "char", "shall") in run(spark, [(1, None, "the captaine sha1l march " * 20_000)], clean, [])
 
 
-def test_misreading_is_one_place():
-    assert s.misreading("sha1l", "shall") == ("1", "l", 3)
-    assert s.misreading("pilgrirn", "pilgrim") == ("rn", "m", 6)
-    assert s.misreading("abc", "xbz") is None and s.misreading("same", "same") is None
+def test_misreadings():
+    assert s.misreading("sha1l", "shall") == [("1", "l", 3)]
+    assert s.misreading("pilgrirn", "pilgrim") == [("rn", "m", 6)]
+    assert s.misreading("shai1", "shall") == [("i", "l", 3), ("1", "l", 4)]
+    assert s.misreading("capta•nz", "captaine") and s.misreading("capxaqne", "captaine")
+    assert s.misreading("abc", "xbz") is None and s.misreading("same", "same") is None and s.misreading("qnd", "end") == [("q", "e", 0)]
+
+
+def test_numbers_of_the_text_stay(spark, clean):
+    """Also in texts without line ends: a number in place of a word is none of a page, one between words that go together is."""
+    texts = [r.speech_text for r in clean.where("speech_text is not null").distinct().collect()]
+    words = max(texts, key=len).split()[:40]
+    foreign = [(i, "A1", " ".join([*words[:i], str(20 + i), *words[i:]])) for i in range(5, 35)]
+    own = [(100 + i, "A1", " ".join([*words[:i], str(20 + i), "crowns", *words[i + 2 :]])) for i in range(5, 35)]
+    got = run(spark, [*foreign, *own, (200, "A1", "I gave him 12 crowns and 40 pounds for the horse.")], clean, [("A1", "A Merry Tankard")])
+    numbers = {r for r, kind, _ in got if kind == "page_no"}
+    assert not numbers & {200, *range(100, 140)}
+    assert len(numbers) > 20
+
+
+def test_two_misreadings_and_a_title_in_lower_case(spark, clean):
+    lines = ["Too shaI1 the captaine haue march the siege of thy", "garrison, and the captainc haue m•rch thy s•ege too", "a merry tankard", "shall the cap-", "taine haue march the siege of thy garrison, and thou"]
+    got = run(spark, [(1, "A1", "\n".join(lines))], clean, [("A1", "A Merry Tankard")])
+    assert {(1, "char", "shall"), (1, "char", "captaine"), (1, "char", "siege"), (1, "hyphen", "captaine"), (1, "header", "a merry tankard")} <= got
+
+
+def test_known_words_are_settled_exactly_beyond_the_common_ones(spark, clean, monkeypatch):
+    pages = [(1, "A1", "The captaine sha1l march the siege, and his captaine shall not march.")]
+    before = run(spark, pages, clean, [("A1", "A Merry Tankard")])
+    monkeypatch.setattr(s, "COMMON_WORDS", 3)
+    after = run(spark, pages, clean, [("A1", "A Merry Tankard")])
+    assert before == after == {(1, "char", "shall")}
+
+
+def scan(text, rng, width=44):
+    """Pages set by another rule than that of ``typeset``: fixed width, one mark, every 9th word broken, every 14th misread."""
+    out, want, line = [], set(), ""
+    for i, word in enumerate(text.split()):
+        core = "".join(c for c in word if c.isalpha())
+        if i % 14 == 5 and core == word and len(word) > 4 and word.islower():
+            k = int(rng.integers(len(word)))
+            want.add(("char", word))
+            word = word[:k] + s.MISSING + word[k + 1 :]
+        elif i % 9 == 4 and core == word and len(word) > 6 and word.islower():
+            want.add(("hyphen", word))
+            out.append(f"{line} {word[:4]}-".strip())
+            line = word[4:]
+            continue
+        if len(line) + len(word) > width:
+            out.append(line)
+            line = ""
+            if len(out) % 15 == 0:
+                out.append(f"[{len(out)}]")
+                want.add(("page_no", out[-1]))
+        line = f"{line} {word}".strip()
+    return "\n".join([*out, line]), want
+
+
+def test_noise_of_another_kind(spark, clean):
+    texts = sorted(r.speech_text for r in clean.where("length(speech_text) > 300").distinct().collect())[:60]
+    rng = np.random.default_rng(3)
+    made = [scan(t, rng) for t in texts]
+    got = run(spark, [(i, "A1", t) for i, (t, _) in enumerate(made)], clean, [("A1", "A Merry Tankard")])
+    want = {(i, *w) for i, (_, ws) in enumerate(made) for w in ws}
+    assert len(want & got) / len(want) > 0.9
+    assert len(want & got) / len(got) > 0.8
 
 
 def test_compounds_and_title_spans():
@@ -74,6 +136,10 @@ def test_index_finds_every_single_misreading():
         for i in range(len(word)):
             form = word[:i] + s.MISSING + word[i + 1 :]
             assert set(s.probe_keys(form)) & set(s.index_keys(word)), form
+            other = form.replace(s.MISSING, "z")
+            for j in range(len(word) if len(word) > s.SHORT_WORD else 0):  # and every two of a long word
+                two = other[:j] + "k" + other[j + 1 :]
+                assert set(s.probe_keys(two)) & set(s.index_keys(word)), two
     for read, printed in (("pilgrirn", "pilgrim"), ("rnartial", "martial"), ("cornet", "comet"), ("dad", "clad"), ("proda", "procla"), ("orade", "oracle"), ("lirnb", "limb")):
         assert s.misreading(read, printed) and set(s.probe_keys(read)) & set(s.index_keys(printed)), read
 
