@@ -1,12 +1,14 @@
 """Linking variant spellings of names (problem 3): a pigeonhole segment join.
 
-Names in capitals, and those of the printed list of roles, are the persons of a play. Every word of a
-person's name is cut into three segments that go into an inverted index by play, length, place and text; a
-word within one typing slip of it (insertion, omission, replacement or two letters exchanged, which is two
-edits) keeps at least one segment, at most one place aside. The words of the other spellings look up their
-substrings and, for abbreviations, whole beginnings; candidates are verified word by word with a banded edit
-distance, and each spelling goes to its best person if that one is clearly the best. Spellings without a
-person among those known are then compared with each other in the same way.
+The persons of a play are those of its printed list of roles and, where a play prints names both in capitals and
+otherwise, those in capitals. Every word of a person's name is cut into k + 1 segments for k = 2 edits, which go into an
+inverted index by play, length, place and text: a word with one typing slip (insertion, omission, replacement, or two
+letters exchanged, which is two edits), or a long word with two slips, keeps one segment, at most as many places aside.
+The beginnings of words are indexed whole and, for abbreviations with a slip, by their segments too. The words of every
+other spelling look up their substrings; candidates are verified word by word with an edit distance banded to k,
+words being given to each other by the cheapest assignment. Each spelling goes to its best person if that one is
+clearly the best. Spellings without a person are then compared with each other in the same way, and names in capitals
+that no list has with all other persons, so that every spelling meets every other of its play.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -31,10 +33,16 @@ from promptbook.plans.lineage import cut
 TITLES = frozenset("a an the sir lord lady mistris mistresse mistress mrs maister master mr king queen queene prince duke old ioung".split())
 #: What a description may end with that belongs to the next name of the list: a title behind a separator.
 NEXT_TITLE = r"(?:[^\w\s,]|\n)\s*(?:Old|Young|King|Queen|Duke|Prince|Sir|Lord|Lady)\s*$"
-#: Segments of a word: one more than the edits of a slip.
-SEGMENTS = 3
+#: Edits that leave at least one of one more segments whole.
+EDITS = 2
+#: Words of at least so many letters may have two slips, others of three letters one.
+LONG_WORD, LEAST_WORD = 8, 3
+#: Digits that are read for letters within a word: fixed values.
+DIGITS = str.maketrans("0158", "oisb")
 #: A spelling is linked if it is within the greatest cost and the next person is further by the margin.
 MOST, MARGIN = 2.7, 0.25
+#: Names both in capitals are within this cost of each other if one is a slip of the other.
+SAME_CAPITALS = 2.1
 MISSING = "•"
 #: Beginnings longer than this are looked up by their first letters, and compared whole when they are verified.
 HEAD = 32
@@ -47,7 +55,8 @@ def letters(text: str) -> str:
 
 
 def words(name: str | None) -> list[tuple[str, bool]]:
-    """The words of a name without titles, each with whether it is marked as cut short."""
+    """The words of a name without titles, each with whether it is marked as cut short. A digit within a word is a letter
+    misread; a number is a word of its own, and a name with one keeps its titles, as it has no other words."""
     out: list[tuple[str, bool]] = []
     for raw in re.findall(rf"[\w'\-{MISSING}]+[.:]*|[.:]+", name or ""):
         mark = raw.rstrip(".:")
@@ -56,89 +65,186 @@ def words(name: str | None) -> list[tuple[str, bool]]:
                 out[-1] = (out[-1][0], True)
             continue
         word = letters(mark).replace("'", "").replace("-", "")
-        out.append((word, raw != mark))
-    kept = [w for w in out if w[0] not in TITLES]
-    return kept
+        if word and not word.isdigit():
+            word = word.translate(DIGITS)
+        if word:
+            out.append((word, raw != mark))
+    if any(w.isdigit() for w, _ in out):
+        return [(w, short and not w.isdigit()) for w, short in out]
+    return [w for w in out if w[0] not in TITLES]
 
 
-def slip(a: str, b: str) -> bool:
-    """Whether one slip turns ``a`` into ``b``; an illegible letter stands for any one. Compares within a band of one."""
-    if a == b:
-        return True
+def slips(word: str) -> int:
+    """How many slips a word of this length may have."""
+    n = len(word)
+    return 2 if n >= LONG_WORD else 1 if n >= LEAST_WORD else 0
+
+
+def distance(a: str, b: str, k: int) -> int | None:
+    """Insertions, omissions, replacements and exchanges of neighbours that turn ``a`` into ``b``, if at most ``k``; cells
+    further than ``k`` from the diagonal are never computed. An illegible letter stands for any one."""
     n, m = len(a), len(b)
-    if abs(n - m) > 1:
-        return False
+    if abs(n - m) > k:
+        return None
+    far = k + 1
+    older: dict[int, int] = {}
+    above = {j: j for j in range(min(m, k) + 1)}
+    for i in range(1, n + 1):
+        row: dict[int, int] = {}
+        for j in range(max(0, i - k), min(m, i + k) + 1):
+            if j == 0:
+                row[j] = i
+                continue
+            same = a[i - 1] == b[j - 1] or MISSING in (a[i - 1], b[j - 1])
+            best = min(above.get(j - 1, far) + (not same), above.get(j, far) + 1, row.get(j - 1, far) + 1)
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                best = min(best, older.get(j - 2, far) + 1)
+            row[j] = best
+        if min(row.values()) > k:
+            return None
+        older, above = above, row
+    return above[m] if above.get(m, far) <= k else None
+
+
+def other_sex(a: str, b: str) -> bool:
+    """Whether two words differ in no more than endings that tell a woman's name from a man's."""
     i = 0
-    while i < n and i < m and a[i] == b[i]:
+    while i < min(len(a), len(b)) and a[i] == b[i]:
         i += 1
-    j = 0
-    while j < n - i and j < m - i and a[n - 1 - j] == b[m - 1 - j]:
-        j += 1
-    x, y = a[i : n - j], b[i : m - j]
-    if j == 0 and {x, y} == {"a", "o"}:  # endings that tell a woman's name from a man's
-        return False
-    return (len(x) <= 1 and len(y) <= 1) or (len(x) == 2 and x == y[::-1])
+    return {a[i:], b[i:]} in ({"a", "o"}, {"a", "us"})
+
+
+def slipped(word: str, target: str) -> float | None:
+    """Cost of the slips between a word and one of a person's name; None if they are too many for its length. One slip
+    in a word of three letters and two in a long one leave the first letter alone."""
+    k = slips(target)
+    if not k or len(word) < LEAST_WORD or other_sex(word, target):
+        return None
+    d = distance(word, target, k)
+    if d is None:
+        return None
+    if (d == 2 or min(len(word), len(target)) == LEAST_WORD) and word[0] != target[0]:
+        return None
+    return 0.5 if d == 0 else 1.6 if d == 2 else 1.3 if min(len(word), len(target)) == LEAST_WORD else 1.0
 
 
-def word_cost(word: str, short: bool, formal: list[str], target: str) -> float | None:
+@lru_cache(200_000)
+def word_cost(word: str, short: bool, formal: tuple[str, ...], target: str) -> float | None:
     """How far a word of a spelling is from a word of a person's name; None if they don't go together."""
     if word == target:
         return 0.0
+    if word.isdigit() or target.isdigit():
+        return None
     if target in formal:
         return 0.4
-    if MISSING in word and len(word) == len(target) and all(x in (y, MISSING) for x, y in zip(word, target)):
+    if MISSING in word and len(word) == len(target) and all(x in (y, MISSING) for x, y in zip(word, target)) and word.count(MISSING) < len(word):
         return 0.5
     if len(word) == 1:
         return 1.2 if target[0] == word else None
     if target.startswith(word) and (short or len(word) >= 3):
         return 0.8
-    if min(len(word), len(target)) >= 4 and slip(word, target):
-        return 1.0
-    if short and len(word) >= 4 and any(slip(word, target[:k]) for k in (len(word) - 1, len(word), len(word) + 1) if k < len(target)):
+    cost = slipped(word, target)
+    if cost is not None:
+        return cost
+    if short and len(word) >= 4 and any(distance(word, target[:k], 1) is not None for k in (len(word) - 1, len(word), len(word) + 1) if k < len(target)):
         return 1.6
     return None
 
 
+def assign(costs: list[list[float | None]]) -> float | None:
+    """Least sum of costs that gives every row a column of its own; None if there is no way. Shortest augmenting paths,
+    so names of any number of words are compared."""
+    n, m = len(costs), len(costs[0])
+    if n > m:
+        return None
+    none = 1e6
+    c = [[none if x is None else x for x in row] for row in costs]
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, used, way = [float("inf")] * (m + 1), [False] * (m + 1), [0] * (m + 1)
+        while owner[at]:
+            used[at] = True
+            row, step, to = owner[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    now = c[row - 1][j - 1] - u[row] - v[j]
+                    if now < least[j]:
+                        least[j], way[j] = now, at
+                    if least[j] < step:
+                        step, to = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+        while at:
+            owner[at] = owner[way[at]]
+            at = way[at]
+    total = sum(c[owner[j] - 1][j - 1] for j in range(1, m + 1) if owner[j])
+    return None if total >= none / 2 else total
+
+
 def name_cost(spelling: list[tuple[str, bool, list[str]]], person: list[str]) -> float | None:
-    """Cost of the cheapest way to give every word of the spelling a word of its own in the person's name."""
-    if not spelling or len(person) > 5:
+    """Cost of the cheapest way to give every word of the spelling a word of its own in the person's name. Initials alone
+    stand for a name that has them all in this order; numbers must be the same."""
+    if not spelling or sorted(w for w, _, _ in spelling if w.isdigit()) != sorted(w for w in person if w.isdigit()):
         return None
-    best = None
-    for order in permutations(range(len(person)), len(spelling)):
-        costs = [word_cost(w, s, f, person[k]) for (w, s, f), k in zip(spelling, order)]
-        if None in costs or all(len(w) == 1 for w, _, _ in spelling):
-            continue
-        c = sum(costs) + 0.05 * (len(person) - len(spelling))
-        best = c if best is None or c < best else best
+    if all(len(w) == 1 and not w.isdigit() for w, _, _ in spelling):
+        whole = len(spelling) > 1 and [w for w, _, _ in spelling] == [p[0] for p in person]
+        return 1.2 * len(spelling) if whole and all(len(p) > 1 for p in person) else None
+    best = assign([[word_cost(w, s, tuple(f), p) for p in person] for w, s, f in spelling])
+    if best is not None:
+        best += 0.05 * (len(person) - len(spelling))
     if best is None and len(spelling) > 1 and spelling[0][:2] == ("m", True):  # "M." is Master or Mistress as often as a first name
         title = name_cost(spelling[1:], person)
         best = None if title is None else title + 1.5  # less likely than the initial of a namesake
     return best
 
 
+@lru_cache(None)
+def _segments(n: int) -> list[tuple[int, int]]:
+    """Begin and end of the segments of ``n`` letters."""
+    at = [n * i // (EDITS + 1) for i in range(EDITS + 2)]
+    return list(zip(at, at[1:]))
+
+
 def _index(word: str) -> list[str]:
-    """Keys under which a word of a person's name is found: its segments and its beginnings."""
+    """Keys under which a word of a person's name is found: its beginnings, whole and in segments, and its segments."""
     n = len(word)
     keys = [f"p{word[:k]}" for k in range(1, min(n, HEAD) + 1)]
-    if n >= 4:
-        at = [n * i // SEGMENTS for i in range(SEGMENTS + 1)]
-        keys += [f"{n}.{i}.{word[at[i] : at[i + 1]]}" for i in range(SEGMENTS)]
+    keys += [f"b{m}.{i}.{word[a:e]}" for m in range(LEAST_WORD, min(n, HEAD)) for i, (a, e) in enumerate(_segments(m))]
+    if n >= LEAST_WORD:
+        keys += [f"{n}.{i}.{word[a:e]}" for i, (a, e) in enumerate(_segments(n))]
     return keys
 
 
 def _probes(word: str, short: bool, formal: list[str], alone: bool) -> list[str]:
     """Keys that a word of a spelling looks up: itself as a beginning, its formal names, substrings at shifted places."""
     keys = [f"p{f[:HEAD]}" for f in formal]
-    if len(word) > 1 or alone:
-        keys.append(f"p{word[:HEAD]}")
-    if short and len(word) >= 4:
-        keys.append(f"p{word[:3]}")
+    if word.isdigit() or MISSING in word[:1]:
+        keys += [f"p{word[:HEAD]}"] if word.isdigit() else []
+    elif len(word) > 1 or alone:
+        keys.append(f"p{word[:HEAD].split(MISSING)[0]}")
     n = len(word)
-    for m in range(max(4, n - 1), n + 2):
-        at = [m * i // SEGMENTS for i in range(SEGMENTS + 1)]
-        for i in range(SEGMENTS):
-            size = at[i + 1] - at[i]
-            keys += [f"{m}.{i}.{word[p : p + size]}" for p in (at[i] - 1, at[i], at[i] + 1) if 0 <= p and p + size <= n]
+
+    def shifted(kind: str, m: int, k: int) -> Iterator[str]:
+        for i, (a, e) in enumerate(_segments(m)):
+            for p in range(max(0, a - k), min(n - (e - a), a + k) + 1):
+                part = word[p : p + e - a]
+                if MISSING not in part:
+                    yield f"{kind}{m}.{i}.{part}"
+
+    if n >= LEAST_WORD:
+        for m in range(max(LEAST_WORD, n - 2), n + 3):
+            k = slips("x" * m)
+            if abs(m - n) <= k:
+                keys += shifted("", m, k)
+        if short and n >= 4:
+            for m in (n - 1, n, n + 1):
+                keys += shifted("b", m, 1)
     return keys
 
 
@@ -158,7 +264,7 @@ def _index_keys(names: pd.Series) -> pd.Series:
 
 @F.pandas_udf(_KEYS)
 def _probe_keys(codes: pd.Series) -> pd.Series:
-    return codes.map(lambda c: sorted({k for w, s, f in _decode(c) for k in _probes(w, s, f, " " not in c)}))
+    return codes.map(lambda c: sorted({k for spelling in [_decode(c)] for w, s, f in spelling for k in _probes(w, s, f, all(len(x) == 1 for x, _, _ in spelling))}))
 
 
 def _decode(code: str) -> list[tuple[str, bool, list[str]]]:
@@ -203,27 +309,31 @@ def link_names(table: DataFrame, catalogue: DataFrame) -> DataFrame:
     so a name that is in every play meets only the names of its own play.
 
     Edge cases: rows with a null play or name count for nothing, as do names without a letter; names with a
-    number in front ("1. Lord") stand for themselves; repeated rows count once; null descriptions, plays that
+    number ("1. Lord") are only linked with those of the same number; repeated rows count once; null descriptions, plays that
     the catalogue lacks and null lists of roles only take evidence away; a spelling that fits two persons
     equally well is not linked; other columns are ignored; empty tables give no rows.
     """
     known = table.where("tcp is not null and normalized_name is not null").select("tcp", F.col("normalized_name").alias("name"), F.nullif(F.trim("role_description"), F.lit("")).alias("about"))
-    names = known.groupBy("tcp", "name").agg(F.max("about").alias("about")).withColumn("words", _words("name"))
-    names = cut(names.where((F.size("words") > 0) & ~F.exists("words", lambda w: w["word"].rlike(r"\d"))))
+    names = known.groupBy("tcp", "name").agg(F.max("about").alias("about")).withColumn("words", _words("name")).where(F.size("words") > 0)
 
     roles = catalogue.where("tcp is not null and roles is not null").select("tcp", F.explode(parse_roles("roles")).alias("r"))
     roles = roles.select("tcp", _words("r.name").alias("words"), F.regexp_replace("r.description", NEXT_TITLE, "").alias("about")).where(F.size("words") > 0)
     capital = (F.upper("name") == F.col("name")) & F.col("name").rlike(r"\p{L}{2}") & ~F.col("name").contains(MISSING)
     joined = F.array_join(F.transform("words", lambda w: w["word"]), " ")
     listed = roles.select("tcp", joined.alias("person"), F.nullif(F.regexp_replace("about", r"[\s.;|]+$", ""), F.lit("")).alias("about"))
-    spoken = names.where(capital).select("tcp", joined.alias("person"), "about")
+    # capitals tell a person only in a play that prints other names otherwise; what the list has is a person in any
+    mixed = names.groupBy("tcp").agg(F.max(F.upper("name") != F.col("name")).alias("mixed"))
+    names = names.join(mixed, "tcp").withColumn("person", joined)
+    names = names.join(listed.select("tcp", "person", F.lit(True).alias("listed")).distinct(), ["tcp", "person"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    names = cut(names.withColumn("own", capital & (F.col("mixed") | F.col("listed"))).select("tcp", "name", "about", "words", "person", "own", "listed"))
+    spoken = names.where("own").select("tcp", "person", "about")
     persons = cut(listed.unionByName(spoken).groupBy("tcp", "person").agg(F.array_join(F.array_sort(F.collect_set("about")), "\n").alias("person_about")).withColumn("target", F.concat(F.lit("="), F.col("person"))))
 
     called = F.lower(F.regexp_extract("person_about", r"called (\p{L}+)", 1))
     nick = persons.select(F.split("person", " ")[0].alias("formal"), _words(called).alias("w")).where(F.size("w") == 1)
     nick = nick.groupBy(F.col("w")[0]["word"].alias("word")).agg(F.array_sort(F.collect_set("formal")).alias("formal"))  # first names of one nickname
 
-    rest = names.where(~capital).select("tcp", "name", "about", F.posexplode("words").alias("pos", "w")).select("tcp", "name", "about", "pos", "w.word", "w.short")
+    rest = names.where("not own").select("tcp", "name", "about", F.posexplode("words").alias("pos", "w")).select("tcp", "name", "about", "pos", "w.word", "w.short")
     rest = rest.join(nick, "word", "left").withColumn("part", F.concat_ws("/", "word", F.col("short").cast("int").cast("string"), F.array_join(F.coalesce("formal", F.array().cast("array<string>")), "/")))
     rest = rest.withColumn("part", F.regexp_replace("part", "/+$", ""))
     codes = rest.groupBy("tcp", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda s: s["part"]), " ").alias("code"), F.max("about").alias("about"))
@@ -234,7 +344,7 @@ def link_names(table: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     left = cut(codes.join(first.select("tcp", "name").distinct(), ["tcp", "name"], "left_anti"))
     plain = F.array_join(F.transform(F.split("code", " "), lambda p: F.split(p, "/")[0]), " ")
-    among = left.select("tcp", F.col("name").alias("target"), plain.alias("person"), F.coalesce("about", F.lit("")).alias("person_about")).where(F.col("person").rlike(rf"^[^{MISSING} ]{{5,}}( [^{MISSING} ]{{4,}})*$"))
+    among = left.select("tcp", F.col("name").alias("target"), plain.alias("person"), F.coalesce("about", F.lit("")).alias("person_about")).where(~F.col("person").contains(MISSING) & F.col("person").rlike(r"[^ ]{2}"))
     second = cut(_best(left, among))
     node = lambda c: F.struct("tcp", F.col(c).alias("name"))
     groups = components(second.where("n = 1").select(node("name").alias("a"), node("target").alias("b")))
@@ -246,8 +356,15 @@ def link_names(table: DataFrame, catalogue: DataFrame) -> DataFrame:
     members = members.unionByName(members.select("tcp", "head", F.col("head").alias("name")))
     alone = members.select("tcp", F.concat(F.lit("~"), F.col("head")).alias("person"), "name").distinct()
 
-    own = names.where(capital).select("tcp", F.concat(F.lit("="), joined).alias("person"), "name")
-    everyone = own.unionByName(linked).unionByName(alone).distinct()
+    # names in capitals that no list has: slips of another person's name, with the same initial
+    unlisted = names.where("own and not listed").select("tcp", F.concat(F.lit("="), "person").alias("name"), F.max("about").over(W.partitionBy("tcp", "person")).alias("about"), F.concat_ws(" ", F.transform(F.split("person", " "), lambda w: F.concat(w, F.lit("/0")))).alias("code")).distinct()
+    third = _best(unlisted, persons).where((F.col("n") == 1) & (F.col("cost") <= SAME_CAPITALS) & (F.substring("name", 2, 1) == F.substring("target", 2, 1)))
+    merged = components(third.select(node("name").alias("a"), node("target").alias("b")))
+    merged = merged.select("node.tcp", F.col("node.name").alias("person"), F.col("label.name").alias("head"))
+
+    own = names.where("own").select("tcp", F.concat(F.lit("="), "person").alias("person"), "name")
+    everyone = own.unionByName(linked).unionByName(alone).join(merged, ["tcp", "person"], "left")
+    everyone = everyone.select("tcp", F.coalesce("head", "person").alias("person"), "name").distinct()
     return everyone.withColumn("k", F.count("*").over(W.partitionBy("tcp", "person"))).where("k > 1").drop("k")
 
 
