@@ -4,8 +4,12 @@ Every word of a page is judged by the words around it. A word counts as spam if
 in a stretch almost without function words (lists of nouns, tags, prices), or in a stretch where content
 words come back after unnaturally short gaps, or in a stretch most of whose content words come back at a
 steady distance, whatever that is: by equal gaps of a word, or at a lag at which the page's autocorrelation
-stands out. A longer passage in the style of writing that is copied whole is no keyword. A page is flagged if more than the given share of its words counts as spam. All pages are judged by themselves, so
-nothing is shuffled.
+stands out, or between the ends of a long chain of a word whose gaps do not vary at all. A longer passage in the style
+of writing that is copied whole is no keyword. A page is flagged if more than the given share of its words counts as
+spam. All pages are judged by themselves, so nothing is shuffled and a page is judged alike in any collection.
+
+Function words are those of a list for some languages. A page in another language shows by its words of one or two
+letters: where these are as frequent as in writing, its words of up to three letters stand for its function words.
 """
 
 from __future__ import annotations
@@ -28,6 +32,11 @@ LIST_SHARE, DENSE_TERM, DENSE_SHARE = 0.12, 0.19, 0.16
 TIMES, JITTER, STEADY_SHARE, LAG_SHARE = 5, 0.15, 0.66, 0.15
 #: A steady passage of more than two lag windows is a keyword page only below this share of function words.
 PASSAGE_SHARE = 0.45
+#: A word that comes back so often at exactly one gap of at most two lag windows makes a keyword page of what lies between.
+CHAIN = 12
+#: A page below the first share of known function words is in another language if words of one or two letters have at
+#: least the second share, and both together the third.
+KNOWN_SHARE, SHORT_SHARE, BOTH_SHARE = 0.2, 0.05, 0.1
 #: Shorter segments are judged with the words around them; fewer words make no list.
 SHORT = 6
 
@@ -52,7 +61,7 @@ _END = re.compile(r"[.!?;:][\"')\]]*$")
 class _Words:
     """Numbers and kinds of the words seen by a task; forgotten when they get many."""
 
-    FUNCTION, CONTENT, LINK, NONE = 0, 1, 2, 3
+    FUNCTION, CONTENT, LINK, NONE, TWO, THREE = range(6)
 
     def __init__(self):
         self.clear()
@@ -67,6 +76,8 @@ class _Words:
         elif term := _STRIP.sub("", raw).lower():
             term = term.replace("ſ", "s")
             kind = self.FUNCTION if term in FUNCTION_WORDS else self.CONTENT
+            if kind == self.CONTENT and len(term) < 4 and term.isalpha() and term in raw.replace("ſ", "s"):
+                kind = self.TWO if len(term) < 3 else self.THREE
             got = (self.terms.setdefault(term, len(self.terms)), kind, bool(_END.search(raw)))
         else:
             got = (-1, self.NONE, False)
@@ -145,6 +156,19 @@ def _steady(term: np.ndarray, function: np.ndarray) -> np.ndarray:
     return out
 
 
+def _even_chains(group: np.ndarray, place: np.ndarray, line: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last row of every chain of at least CHAIN rows of one group whose places differ by one and the same gap,
+    neither a word on end nor more than two lag windows. Rows are sorted by group and place; a word at the same place
+    ``within`` one line or sentence after another, as in glossaries and refrains, makes no chain."""
+    formed = (line[1:] != line[:-1]) & (within[1:] == within[:-1])
+    gap = np.where((group[1:] == group[:-1]) & ~formed, np.diff(place), 0)
+    same = (gap[1:] == gap[:-1]) & (gap[1:] > 2) & (gap[1:] <= 2 * LAG)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+    first, end = edge[::2], edge[1::2]
+    long = end - first >= CHAIN - 2
+    return first[long], end[long] + 1
+
+
 def _judge(texts: list[str], words: _Words) -> tuple[np.ndarray, ...]:
     """Words, and of these links, words of lists and stuffed words, for each text."""
     if len(words.seen) > 500_000:
@@ -172,6 +196,11 @@ def _judge(texts: list[str], words: _Words) -> tuple[np.ndarray, ...]:
     n = len(term)
     if not n:
         return tuple(np.zeros(n_docs, np.int64) for _ in range(4))
+    share = lambda flag: np.bincount(doc[flag], minlength=n_docs) / np.maximum(1, np.bincount(doc, minlength=n_docs))
+    known, two = share(kind == _Words.FUNCTION), share(kind == _Words.TWO)
+    other = (known < KNOWN_SHARE) & (two >= SHORT_SHARE) & (known + two >= BOTH_SHARE)
+    short_word = (kind == _Words.TWO) | (kind == _Words.THREE)
+    kind[short_word] = np.where(other[doc[short_word]], _Words.FUNCTION, _Words.CONTENT)
     at = np.arange(n)
     doc_lo, doc_hi = np.searchsorted(doc, doc, "left"), np.searchsorted(doc, doc, "right")
     seg_lo, seg_hi = np.searchsorted(segment, segment, "left"), np.searchsorted(segment, segment, "right")
@@ -198,6 +227,10 @@ def _judge(texts: list[str], words: _Words) -> tuple[np.ndarray, ...]:
         own = content[order]
         dense[own] = close >= np.maximum(3, DENSE_TERM * (wide_hi - wide_lo)[own])
     stuffed = within(dense, wide_lo, wide_hi) >= DENSE_SHARE * (wide_hi - wide_lo)
+    if len(content) > CHAIN:
+        edge = _even_chains(s // (n + step), own, segment[own], own - seg_lo[own])
+        open_at = np.bincount(own[edge[0]], minlength=n + 1) - np.bincount(own[edge[1]] + 1, minlength=n + 1)
+        stuffed |= np.cumsum(open_at)[:n] > 0
     if len(content):
         # only pages with a window half of whose content words come often enough can have a steady stretch
         _, which, times = np.unique(s // (n + step), return_inverse=True, return_counts=True)

@@ -48,3 +48,27 @@ STEADY = {
 def test_keyword_sentences_at_a_steady_distance_are_flagged(spark):
     pages = spark.createDataFrame([*STEADY.items(), (40, SPEECH * 100), *FAIR.items()], "doc_id long, text string")
     assert {r.id for r in spam_pages(pages, "doc_id", "text").collect()} == {*STEADY}
+
+
+OTHER = {
+    50: "Litwo! Ojczyzno moja! ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. Dziś piękność twą w całej ozdobie widzę i opisuję, bo tęsknię po tobie. Panno święta, co jasnej bronisz Częstochowy i w Ostrej świecisz Bramie.",
+    51: "Det var en gång en prins, han ville ha sig en prinsessa, men det skulle vara en riktig prinsessa. Så reste han hela världen runt för att hitta en sådan, men överallt var det något i vägen. Prinsessor fanns det nog av, men om det var riktiga prinsessor, det kunde han inte alls bli klok på.",
+    52: "Het was nu al diep in de nacht en de wind ging om het oude huis als een hond die zijn baas zoekt. Zij zat bij het vuur en dacht aan wat hij haar had gezegd toen zij nog jong was en niets van de wereld wist.",
+    53: "В начале жизни школу помню я; там нас, детей беспечных, было много; неровная и резвая семья. Смиренная, одетая убого, но видом величавая жена над школою надзор хранила строго.",
+}
+TAGS_ELSEWHERE = {60: "peruka, maska, kostium, lutnia, kaptur, rękawiczki, sztylet, korona, plakat, bilet, kurtyna, lalka, pergamin, kałamarz, peleryna, szpada"}
+
+
+def test_writing_in_other_languages_is_not_flagged(spark):
+    pages = spark.createDataFrame([*OTHER.items(), *TAGS_ELSEWHERE.items()], "doc_id long, text string")
+    assert {r.id for r in spam_pages(pages, "doc_id", "text").collect()} == {60}
+
+
+def test_one_keyword_at_an_unvaried_gap_is_flagged(spark):
+    import random
+
+    rng = random.Random(4)
+    filler = [f"w{a}{b}ord"[: 4 + k % 3] for k, (a, b) in enumerate((x, y) for x in "abcdefghij" for y in "klmnopqrst")]
+    page = lambda gap: " ".join(w for _ in range(22) for w in ["playbook", *(rng.choice([*filler, *["the", "of", "and", "to"] * 15]) for _ in range(gap() - 1))])
+    pages = spark.createDataFrame([(1, page(lambda: 15)), (2, page(lambda: rng.randint(9, 21)))], "doc_id long, text string")
+    assert {r.id for r in spam_pages(pages, "doc_id", "text").collect()} == {1}
