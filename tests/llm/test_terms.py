@@ -22,7 +22,7 @@ def brute(texts):
     return {(w, n[w], r[w]) for w in n}
 
 
-@pytest.mark.parametrize("budget", [2_000_000, 3])
+@pytest.mark.parametrize("budget", [1 << 26, 300])
 def test_census_counts_all_terms_also_when_it_must_spill(spark, budget):
     df = spark.createDataFrame([(t, "x", 1) for t in TEXTS], "text string, term string, n int")
     tops = spark.createDataFrame([(" A, b ,,a\n,B ",), ("b",), (None,), (" , ",)], "words string")
@@ -31,6 +31,41 @@ def test_census_counts_all_terms_also_when_it_must_spill(spark, budget):
     assert {(r.term, r.n_total, r.n_records) for r in got if r.field == "top"} == {("a", 2, 1), ("b", 3, 2)}
 
 
+@pytest.mark.parametrize("budget", [1 << 26, 20_000, 400])
+def test_a_term_in_every_record_and_many_rare_ones(spark, budget):
+    """A third of all occurrences are one term; the others are so many that they are split by hash bits again and again."""
+    from pyspark.sql import functions as F
+
+    rare = F.translate(F.lpad(F.conv(F.col("id").cast("string"), 10, 8), 5, "0"), "01234567", "abcdefgh")
+    df = spark.range(0, 6000, 1, 6).select(F.concat(F.lit("hot "), rare, F.lit(" common "), rare).alias("t"))
+    got = {r.term: (r.n_total, r.n_records) for r in term_census({"x": (df, "words")}, budget).collect()}
+    assert got.pop("hot") == got.pop("common") == (6000, 6000)
+    assert len(got) == 6000 and set(got.values()) == {(2, 1)}
+
+
+def test_what_exceeds_the_budget_is_split_and_one_term_is_not(tmp_path):
+    import pyarrow as pa
+
+    from promptbook.llm import term_census as c
+
+    def spill(rows, budget):
+        t = pa.table({"field": ["f"] * len(rows), "term": [r[0] for r in rows], "n": [1] * len(rows), "records": [1] * len(rows), "h": pa.array([r[1] for r in rows], pa.int64())})
+        made = []
+        out = []
+        for part in c._spill(c._duck(), iter(t.to_batches(max_chunksize=50)), 0, str(tmp_path), budget):
+            made.append(len(list(tmp_path.rglob("*"))))
+            out += part.to_pylist()
+        return out, max(made, default=0)
+
+    many, files = spill([(f"t{i}", (i * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63) for i in range(2000)], 2000)
+    assert len(many) == 2000 and files > 10
+    one, files = spill([("hot", 77)] * 5000, 2000)
+    assert [(r["term"], r["n"]) for r in one] == [("hot", 5000)] and files == 0
+    same, files = spill([(f"t{i}", 5) for i in range(500)], 2000)  # all of one hash
+    assert len(same) == 500
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_census_of_nothing(spark):
     assert term_census({"x": (spark.createDataFrame([], "text string"), "words")}).count() == 0
 
