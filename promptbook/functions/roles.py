@@ -27,8 +27,9 @@ def parse_roles(text: Column | str) -> Column:
     description. Null and texts without a name in capitals give an empty array.
     """
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    between = F.split(text, NAME)
-    about = lambda i: clip(strip(F.regexp_replace(strip(F.element_at(between, i + 2)), "^[,;]+", "")), DESCRIPTION_CHARS)
-    every = F.transform(F.regexp_extract_all(text, F.lit(f"({NAME})"), 1), lambda name, i: F.struct(name.alias("name"), about(i).alias("description")))
+    names = F.regexp_extract_all(text, F.lit(f"({NAME})"), 1)
+    after = F.slice(F.split(text, NAME), 2, 2**30)  # one part for each name
+    about = lambda part: clip(strip(F.regexp_replace(strip(part), "^[,;]+", "")), DESCRIPTION_CHARS)
+    every = F.zip_with(names, after, lambda name, part: F.struct(name.alias("name"), about(part).alias("description")))
     bare = lambda role: F.replace(role["name"], F.lit(" "), F.lit(""))
     return F.filter(every, lambda role: ~bare(role).rlike(f"^{NUMERAL}$") & ~bare(role).isin(*HEADINGS))
