@@ -212,40 +212,46 @@ def _segments(n: int) -> list[tuple[int, int]]:
 
 
 def _index(word: str) -> list[str]:
-    """Keys under which a word of a person's name is found: its beginnings, whole and in segments, and its segments."""
+    """Keys under which a word of a person's name is found: its beginnings, which hold its first segment, their last
+    segments, and its own last one. One slip breaks at most two segments side by side, so the first or the last stays;
+    of two slips in a long word the middle segment may be the one that stays."""
     n = len(word)
     keys = [f"p{word[:k]}" for k in range(1, min(n, HEAD) + 1)]
-    keys += [f"b{m}.{i}.{word[a:e]}" for m in range(LEAST_WORD, min(n, HEAD)) for i, (a, e) in enumerate(_segments(m))]
+    for m in range(LEAST_WORD, min(n, HEAD)):
+        a, e = _segments(m)[-1]
+        keys.append(f"b{m}.{word[a:e]}")
     if n >= LEAST_WORD:
-        keys += [f"{n}.{i}.{word[a:e]}" for i, (a, e) in enumerate(_segments(n))]
+        keys += [f"{n}.{i}.{word[a:e]}" for i, (a, e) in enumerate(_segments(n)) if i == EDITS or i and slips(word) > 1]
     return keys
 
 
 def _probes(word: str, short: bool, formal: list[str], alone: bool) -> list[str]:
     """Keys that a word of a spelling looks up: itself as a beginning, its formal names, substrings at shifted places."""
+    if word.isdigit():
+        return [f"p{word[:HEAD]}"]
     keys = [f"p{f[:HEAD]}" for f in formal]
-    if word.isdigit() or MISSING in word[:1]:
-        keys += [f"p{word[:HEAD]}"] if word.isdigit() else []
-    elif len(word) > 1 or alone:
-        keys.append(f"p{word[:HEAD].split(MISSING)[0]}")
+    start = word[:HEAD].split(MISSING)[0]
+    if start and (len(word) > 1 or alone):
+        keys.append(f"p{start}")
     n = len(word)
 
-    def shifted(kind: str, m: int, k: int) -> Iterator[str]:
-        for i, (a, e) in enumerate(_segments(m)):
-            for p in range(max(0, a - k), min(n - (e - a), a + k) + 1):
-                part = word[p : p + e - a]
-                if MISSING not in part:
-                    yield f"{kind}{m}.{i}.{part}"
+    def shifted(kind: str, a: int, e: int, k: int) -> Iterator[str]:
+        for p in range(max(0, a - k), min(n - (e - a), a + k) + 1):
+            part = word[p : p + e - a]
+            if MISSING not in part:
+                yield f"{kind}.{part}"
 
     if n >= LEAST_WORD:
         for m in range(max(LEAST_WORD, n - 2), n + 3):
-            k = slips("x" * m)
+            k, parts = slips("x" * m), _segments(m)
             if abs(m - n) <= k:
-                keys += shifted("", m, k)
-        if short and n >= 4:
-            for m in (n - 1, n, n + 1):
-                keys += shifted("b", m, 1)
-    return keys
+                keys.append(f"p{word[: parts[0][1]]}")
+                for i in range(EDITS if k == 1 else 1, EDITS + 1):
+                    keys += shifted(f"{m}.{i}", *parts[i], k)
+        for m in (n - 1, n, n + 1) if short and n > LEAST_WORD else ():
+            keys.append(f"p{word[: _segments(m)[0][1]]}")
+            keys += shifted(f"b{m}", *_segments(m)[-1], 1)
+    return [k for k in dict.fromkeys(keys) if MISSING not in k]
 
 
 _KEYS = T.ArrayType(T.StringType())
