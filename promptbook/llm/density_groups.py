@@ -2,8 +2,8 @@
 
 Points are quantised to cells whose diagonal is below the radius, so all points of a cell touch
 each other. Cells are counted, adjacent cells that hold a touching pair are joined, and minimum
-labels are propagated over cells to convergence. Work is on cells and boxes, so a cell that holds
-a third of all rows costs one pre-aggregated row.
+labels are propagated over cells to convergence. Work is on cells and boxes, which are numbered, so
+that ids stay with the points, and a cell that holds a third of all rows costs one pre-aggregated row.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ def _far(a: str, b: str, axis: str) -> Column:
 
 
 def _boxes(points: DataFrame, keys: list[str]) -> DataFrame:
-    box = F.struct(F.min("px").alias("lox"), F.max("px").alias("hix"), F.min("py").alias("loy"), F.max("py").alias("hiy"), F.count("*").alias("n")).alias("box")
-    return points.groupBy(*keys).agg(box, F.min("id").alias("key"))
+    """Extent and number of the points of each cell, and a number for the cell, fixed by the checkpoint under it."""
+    boxes = cut(points.groupBy(*keys).agg(F.min("px").alias("lox"), F.max("px").alias("hix"), F.min("py").alias("loy"), F.max("py").alias("hiy"), F.count("*").alias("n")))
+    return boxes.select(*keys, F.monotonically_increasing_id().alias("key"), F.struct("lox", "hix", "loy", "hiy", "n").alias("box"))
 
 
 def _split(pairs: DataFrame, radius: float) -> DataFrame:
@@ -62,17 +63,16 @@ def touching_groups(points: DataFrame, id_col: str, x_col: str, y_col: str, radi
     xy = xy.where(F.col("id").isNotNull() & _valid(F.col("px")) & _valid(F.col("py")))
     xy = xy.groupBy("id").agg(F.max(F.struct("px", "py")).alias("p")).select("id", "p.px", "p.py")
     pts = cut(xy.withColumn("cx", F.floor(F.col("px") / side)).withColumn("cy", F.floor(F.col("py") / side)))
-    cells = cut(_boxes(pts, ["cx", "cy"]))
+    cells = _boxes(pts, ["cx", "cy"])
 
     offsets = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in OFFSETS])).alias("o")
     left = cells.select(F.col("key").alias("a"), F.col("box").alias("p"), "cx", "cy", offsets).select("a", "p", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
     pairs = cut(_split(left.join(cells.select("cx", "cy", F.col("key").alias("b"), F.col("box").alias("q")), ["cx", "cy"]).drop("cx", "cy"), radius))
 
     r2 = radius * radius
-    keyed = pts.join(cells.select("cx", "cy", F.col("key").alias("cell")), ["cx", "cy"])
     found = [pairs.where(F.col("far") <= r2).select("a", "b")]
     open_ = pairs.where(F.col("far") > r2).select("a", "b", F.col("a").alias("pa"), F.col("b").alias("pb"), "p", "q")
-    level, parents = 0, keyed.select("id", "px", "py", F.col("cell").alias("box_key"))
+    level, parents = 0, pts.join(cells.select("cx", "cy", F.col("key").alias("box_key")), ["cx", "cy"]).select("px", "py", "box_key")
     while not open_.isEmpty():
         small = open_.where(F.col("p.n") * F.col("q.n") <= DIRECT)
         ends = parents.select(F.col("box_key"), "px", "py")
@@ -93,8 +93,8 @@ def touching_groups(points: DataFrame, id_col: str, x_col: str, y_col: str, radi
         down = parents.withColumn("fx", F.floor(F.col("px") / fine)).withColumn("fy", F.floor(F.col("py") / fine))
         used = large.select(F.col("pa").alias("box_key")).union(large.select(F.col("pb").alias("box_key"))).distinct()
         down = down.join(used, "box_key", "left_semi")
-        children = cut(_boxes(down, ["box_key", "fx", "fy"]))
-        parents = cut(down.join(children.select("box_key", "fx", "fy", F.col("key").alias("child")), ["box_key", "fx", "fy"]).select("id", "px", "py", F.col("child").alias("box_key")))
+        children = _boxes(down, ["box_key", "fx", "fy"])
+        parents = cut(down.join(children.select("box_key", "fx", "fy", F.col("key").alias("child")), ["box_key", "fx", "fy"]).select("px", "py", F.col("child").alias("box_key")))
         sub = large.select("a", "b", "pa", "pb").join(children.select(F.col("box_key").alias("pa"), F.col("key").alias("ka"), F.col("box").alias("p")), "pa").join(children.select(F.col("box_key").alias("pb"), F.col("key").alias("kb"), F.col("box").alias("q")), "pb")
         sub = cut(_split(sub.select("a", "b", F.col("ka").alias("pa"), F.col("kb").alias("pb"), "p", "q"), radius))
         sure = sub.where(F.col("far") <= r2).select("a", "b").distinct()
@@ -105,10 +105,12 @@ def touching_groups(points: DataFrame, id_col: str, x_col: str, y_col: str, radi
     for more in found[1:]:
         edges = edges.unionByName(more)
     labels = components(edges)
-    groups = cells.select(F.col("key").alias("node"), "cx", "cy", F.col("box.n").alias("cell_n")).join(labels, "node", "left").withColumn("group_key", F.coalesce("label", "node"))
-    sizes = groups.groupBy("group_key").agg(F.sum("cell_n").alias("group_n")).where(F.col("group_n") >= min_size)
-    groups = groups.join(sizes, "group_key").select("group_key", "cx", "cy", "cell_n", "group_n")
-    return pts.join(groups, ["cx", "cy"]).select("group_key", F.col("id").alias("member"), "px", "py", "cx", "cy", "cell_n", "group_n")
+    groups = cells.select(F.col("key").alias("node"), "cx", "cy", F.col("box.n").alias("cell_n")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = groups.groupBy("label").agg(F.sum("cell_n").alias("group_n")).where(F.col("group_n") >= min_size)
+    groups = groups.join(sizes, "label").select("label", "cx", "cy", "cell_n", "group_n")
+    members = pts.join(groups, ["cx", "cy"])
+    names = members.groupBy("label").agg(F.min("id").alias("group_key"))
+    return members.join(names, "label").select("group_key", F.col("id").alias("member"), "px", "py", "cx", "cy", "cell_n", "group_n")
 
 
 def describe_groups(members: DataFrame, k: int = 5) -> DataFrame:
