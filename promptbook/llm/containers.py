@@ -69,19 +69,21 @@ def _pack_shards(capacity: int, max_segments: int, max_loss: int, schema: pa.Sch
         shards = np.asarray(t["shard"])
         for s in np.unique(shards):
             part = t.filter(pa.array(shards == s)).sort_by([("id", "ascending"), ("part", "ascending")])
-            c, p = pack(np.asarray(part["n_tokens"]), np.asarray(part["n_loss"]), capacity, max_segments, max_loss)
-            out = pa.table([pa.array((np.int64(s) << 32) + c), pa.array(p.astype(np.int32)), part["id"], part["part"], part["n_parts"], part["start_token"], part["n_tokens"], part["n_loss"]], schema=schema)
+            loss = np.asarray(part["n_loss"])
+            c, p = pack(np.asarray(part["n_tokens"]), np.minimum(loss, max_loss), capacity, max_segments, max_loss)
+            out = pa.table([pa.array((np.int64(s) << 32) + c), pa.array(p.astype(np.int32)), part["id"], part["part"], part["n_parts"], part["start_token"], part["n_tokens"], part["n_loss"], pa.array(loss > max_loss)], schema=schema)
             yield from out.to_batches()
 
     return run
 
 
 def fill_containers(sizes: DataFrame, capacity: int, max_segments: int, max_loss: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """``(container, place, id, part, n_parts, start_token, n_tokens, n_loss)`` for ``sizes(id, n_tokens, n_loss)``.
+    """``(container, place, id, part, n_parts, start_token, n_tokens, n_loss, over_loss)`` for ``sizes(id, n_tokens, n_loss)``.
 
-    Every item lies whole in one container, unless it alone exceeds the capacity or the limit on loss-bearing
-    tokens: then it is cut into parts as large as the limits allow, and only its last part shares a container
-    by choice. Of a cut item all tokens count as loss-bearing in all parts but the first.
+    Every item lies whole in one container, unless it alone exceeds the capacity: then it is cut into parts of the
+    capacity, and only its last part shares a container by choice. An item or part within the capacity that alone has
+    more loss-bearing tokens than the limit is not cut but marked ``over_loss``; no other loss-bearing item joins it. Of a
+    cut item all tokens count as loss-bearing in all parts but the first.
 
     Edge cases: null sizes count as 0; an item of no tokens takes a place but no room; a repeated row is packed
     again; ties go by id; an empty table gives no rows; limits below 1 are an error.
@@ -89,9 +91,9 @@ def fill_containers(sizes: DataFrame, capacity: int, max_segments: int, max_loss
     if min(capacity, max_segments, max_loss) < 1:
         raise ValueError("limits must be at least 1")
     kind = dict(sizes.dtypes)["id"]
-    step = min(capacity, max_loss)
+    step = capacity
     whole = sizes.select("id", F.coalesce("n_tokens", F.lit(0)).alias("n"), F.coalesce("n_loss", F.lit(0)).alias("l"))
-    n_parts = F.when((F.col("n") > capacity) | (F.col("l") > max_loss), F.ceil(F.col("n") / step)).otherwise(1).cast("int")
+    n_parts = F.when(F.col("n") > capacity, F.ceil(F.col("n") / step)).otherwise(1).cast("int")
     parts = whole.withColumn("n_parts", F.greatest(n_parts, F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
     size = F.when(F.col("n_parts") == 1, F.col("n")).otherwise(F.least(F.lit(step), F.col("n") - F.col("part") * step)).cast("int")
     start = (F.when(F.col("n_parts") == 1, 0).otherwise(F.col("part") * step)).cast("int")
@@ -100,5 +102,5 @@ def fill_containers(sizes: DataFrame, capacity: int, max_segments: int, max_loss
     shards = max(1, round(items.count() / shard_items))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "part"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
     arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
-    schema = pa.schema([("container", pa.int64()), ("place", pa.int32()), ("id", arrow), ("part", pa.int32()), ("n_parts", pa.int32()), ("start_token", pa.int32()), ("n_tokens", pa.int32()), ("n_loss", pa.int32())])
-    return dealt.mapInArrow(_pack_shards(capacity, max_segments, max_loss, schema), f"container bigint, place int, id {kind}, part int, n_parts int, start_token int, n_tokens int, n_loss int")
+    schema = pa.schema([("container", pa.int64()), ("place", pa.int32()), ("id", arrow), ("part", pa.int32()), ("n_parts", pa.int32()), ("start_token", pa.int32()), ("n_tokens", pa.int32()), ("n_loss", pa.int32()), ("over_loss", pa.bool_())])
+    return dealt.mapInArrow(_pack_shards(capacity, max_segments, max_loss, schema), f"container bigint, place int, id {kind}, part int, n_parts int, start_token int, n_tokens int, n_loss int, over_loss boolean")

@@ -32,14 +32,29 @@ SELECT group_key, id AS character_id FROM best WHERE n >= 20
 """
 
 
+_GROUPS = SQL["p1_found"].replace("SELECT group_key, id AS character_id FROM best WHERE n >= 20", "")
+
+
 @query
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return density_groups.describe_groups(density_groups.touching_groups(table(spark, d, "cluster_xy"), "character_id", "x", "y"))
 
 
-def _census(spark: SparkSession, d: str) -> DataFrame:
+# A cell is 0.35 wide, so the five densest cells of a group and the members nearest to its centre in each follow from the groups
+SQL["p1_groups"] = _GROUPS + """,
+m AS (SELECT b.group_key, b.n, p.id, p.x, p.y, floor(p.x / 0.35)::BIGINT AS cx, floor(p.y / 0.35)::BIGINT AS cy FROM best b JOIN pts p USING (id) WHERE b.n >= 20),
+centre AS (SELECT group_key, avg(x) AS mx, avg(y) AS my FROM m GROUP BY 1),
+cells AS (SELECT group_key, cx, cy, row_number() OVER (PARTITION BY group_key ORDER BY count(*) DESC, cx, cy) AS r FROM m GROUP BY 1, 2, 3),
+near AS (SELECT m.group_key, m.id, r, row_number() OVER (PARTITION BY m.group_key, m.cx, m.cy ORDER BY (x - mx) * (x - mx) + (y - my) * (y - my), id) AS w FROM m JOIN cells USING (group_key, cx, cy) JOIN centre USING (group_key) WHERE r <= 5),
+top AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY r, w) AS o FROM near WHERE w <= 5),
+typical AS (SELECT group_key, string_agg(id, ' | ' ORDER BY o) AS typical FROM top WHERE o <= 5 GROUP BY 1)
+SELECT group_key, max(n) AS n_members, any_value(typical) AS typical FROM best JOIN typical USING (group_key) WHERE n >= 20 GROUP BY 1
+"""
+
+
+def _census(spark: SparkSession, d: str, **kw) -> DataFrame:
     speech, top = records.speeches(spark, d), records.labels(spark, d)
-    counts = term_census.term_census({"speech_text": (speech.select("speech_text"), "words"), "top_words": (top.select("top_words"), "entries")})
+    counts = term_census.term_census({"speech_text": (speech.select("speech_text"), "words"), "top_words": (top.select("top_words"), "entries")}, **kw)
     chars = records.speakers(spark, d)
     clusters = table(spark, d, "cluster_labels").where("top_words is not null").agg(F.countDistinct("cluster").alias("total"))
     totals = chars.select(F.lit("speech_text").alias("field"), "total").unionByName(clusters.select(F.lit("top_words").alias("field"), "total"))
@@ -56,6 +71,12 @@ def p2_census(spark: SparkSession, d: str) -> DataFrame:
     return _census(spark, d).select("field", "term", "n_total", "n_records", "total", "mark")
 
 
+@query
+def p2_census_tight(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a budget for executors with next to no memory, so that it spills at any size."""
+    return _census(spark, d, budget=4096).select("field", "term", "n_total", "n_records", "total", "mark")
+
+
 _TERMS = r"""
 docs AS (SELECT character_id AS id, max(speech_text) AS t FROM character_documents WHERE speech_text IS NOT NULL AND character_id IS NOT NULL GROUP BY 1),
 words AS (SELECT id, term FROM (SELECT id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}_]+')) AS term FROM docs) WHERE regexp_full_match(term, '[a-z]{3,}'))"""
@@ -67,7 +88,7 @@ counts AS (SELECT 'speech_text' AS field, term, count(*) AS n_total, count(DISTI
 marked AS (SELECT *, 'rare' AS mark FROM counts WHERE n_records <= 2 UNION ALL SELECT *, 'common' FROM counts WHERE n_records * 100 > total * 56)
 """
 SQL["p2_found"] = _CENSUS + "SELECT field, term, mark FROM marked"
-SQL["p2_census"] = _CENSUS + "SELECT c.*, m.mark FROM counts c LEFT JOIN (SELECT field, term, mark FROM marked) m USING (field, term)"
+SQL["p2_census"] = SQL["p2_census_tight"] = _CENSUS + "SELECT c.*, m.mark FROM counts c LEFT JOIN (SELECT field, term, mark FROM marked) m USING (field, term)"
 
 
 @query
@@ -151,6 +172,9 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).select(F.col("id").alias("character_id"), "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
+SQL["p5_neighbours"] = _NEAREST.replace("AS (SELECT a, b FROM (SELECT a, b, row", "AS (SELECT a, b, s FROM (SELECT a, b, s, row") + "SELECT a AS character_id, b AS neighbour, round(s, 6) AS cosine FROM best"
+
+
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages.spam_pages(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
@@ -161,8 +185,9 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages.spam_shares(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").withColumn("spam_share", F.round("spam_share", 6))
 
 
-#: Segments and loss-bearing tokens that a container of problem 8 holds at most; its tokens come from size_limits.
-MAX_SEGMENTS, MAX_LOSS_SHARE = 24, 63 / 64
+#: Segments and loss-bearing tokens that a container of problem 8 holds at most; its tokens come from size_limits. The
+#: table has no prompts: the first sentence or line of a text stands for one and bears no loss (``tokens.PROMPT``).
+MAX_SEGMENTS, MAX_LOSS_SHARE = 16, 31 / 32
 
 
 @query
@@ -175,8 +200,8 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = _limit(spark, d, "containers")
-    used = p8_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("segments"), F.sum("n_loss").alias("loss"))
-    return used.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("segments").alias("most_segments"), F.max("n").alias("most_tokens"), F.max("loss").alias("most_loss"), F.round(F.avg(F.col("n") / capacity), 4).alias("fill"))
+    used = p8_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("segments"), F.sum("n_loss").alias("loss"), F.bool_or("over_loss").alias("over"))
+    return used.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("segments").alias("most_segments"), F.max("n").alias("most_tokens"), F.max(F.when(~F.col("over"), F.col("loss"))).alias("most_loss"), F.count_if("over").alias("n_over_loss"), F.round(F.avg(F.col("n") / capacity), 4).alias("fill"))
 
 
 def _draws(spark: SparkSession, d: str) -> DataFrame:

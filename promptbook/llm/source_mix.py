@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from promptbook.plans.lineage import cut
 
-#: Buckets of the seeded order within a class; running totals are taken over buckets, then within each.
-BUCKETS = 4096
+#: Classes that the flow is solved for at most, beside those of single sources.
+MAX_CLASSES = 2048
+#: Texts of a bucket of the seeded order within a class, about; running totals are taken over buckets, then within each.
+BUCKET_TEXTS = 5_000
 
 
 class _Flow:
@@ -122,7 +124,15 @@ def text_key(text: str) -> Column:
     return F.when(F.col(text).isNotNull(), F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")))
 
 
-def mix_sources(records: DataFrame, targets: DataFrame, seed: int = 11, total: int | None = None) -> DataFrame:
+def _one_source(goals: dict[str, tuple[float, int]]) -> Column:
+    """One of the sources in ``class``, by the hash ``h`` in proportion to the shares; the last where all are 0."""
+    share = F.create_map(*[F.lit(x) for s, (w, _) in sorted(goals.items()) for x in (s, float(max(w, 0.0)))])
+    upto = F.transform("class", lambda s, i: F.aggregate(F.slice("class", 1, i + 1), F.lit(0.0), lambda a, x: a + share[x]))
+    point = (F.shiftrightunsigned("h", 11) / F.lit(float(2**53))) * upto[F.size("class") - 1]
+    return F.coalesce(F.element_at("class", F.nullif(F.array_position(F.transform(upto, lambda u: point < u), True), F.lit(0)).cast("int")), F.element_at("class", -1))
+
+
+def mix_sources(records: DataFrame, targets: DataFrame, seed: int = 11, total: int | None = None, max_classes: int = MAX_CLASSES) -> DataFrame:
     """``(source, id, n_repeats, n_tokens)``: the records drawn for each source and how often.
 
     ``records(id, source, key, n_tokens)``, where ``key`` stands for the text (``text_key``), and
@@ -145,8 +155,17 @@ def mix_sources(records: DataFrame, targets: DataFrame, seed: int = 11, total: i
     listed = listed.where(F.col("source").isin(list(goals)))
     once = listed.groupBy("key", "source").agg(F.min("id").alias("id"), F.max("n_tokens").alias("n_tokens"))
     texts = once.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("source", "id"))).alias("members"), F.max("n_tokens").alias("n"))  # at most one member per listed source
-    texts = cut(texts.select("key", "members", "n", F.col("members.source").alias("class"), F.xxhash64("key", F.lit(seed)).alias("h")).withColumn("bucket", F.pmod(F.col("h"), F.lit(BUCKETS)).cast("int")))
-    weights = {tuple(x["class"]): x.n for x in texts.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # one row per set of sources
+    texts = cut(texts.select("key", "members", "n", F.col("members.source").alias("class"), F.xxhash64("key", F.lit(seed)).alias("h")))
+    sizes = cut(texts.groupBy("class").agg(F.sum("n").alias("weight"), F.count("*").alias("texts")))
+    held = sizes.where(F.size("class") > 1).orderBy(F.desc("weight"), "class").limit(max_classes).select("class", F.lit(True).alias("held"))
+    if sizes.where(F.size("class") > 1).count() > max_classes:
+        texts = texts.join(F.broadcast(held), "class", "left").withColumn("class", F.when(F.col("held") | (F.size("class") == 1), F.col("class")).otherwise(F.array(_one_source(goals))))  # at most max_classes rows
+        texts = cut(texts.drop("held"))
+        sizes = texts.groupBy("class").agg(F.sum("n").alias("weight"), F.count("*").alias("texts"))
+    rows = sizes.collect()  # at most max_classes and one for each listed source
+    weights = {tuple(x["class"]): x.weight for x in rows}
+    buckets = max(1, sum(x.texts for x in rows) // BUCKET_TEXTS)
+    texts = texts.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     drawn = plan_mix(weights, goals, total)
     if not drawn:
         return empty
