@@ -169,7 +169,8 @@ SQL["p5_found"] = _NEAREST + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b
 
 @query
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _neighbours(spark, d).select(F.col("id").alias("character_id"), "neighbour", F.round("cosine", 6).alias("cosine"))
+    near = vector_neighbors.exact_cosines(_neighbours(spark, d), table(spark, d, "character_vectors"), "character_id", "embedding", _dim(spark, d))
+    return near.select(F.col("id").alias("character_id"), "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
 SQL["p5_neighbours"] = _NEAREST.replace("AS (SELECT a, b FROM (SELECT a, b, row", "AS (SELECT a, b, s FROM (SELECT a, b, s, row") + "SELECT a AS character_id, b AS neighbour, round(s, 6) AS cosine FROM best"

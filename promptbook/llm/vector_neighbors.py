@@ -140,7 +140,7 @@ def _ordered(h: np.ndarray, more: np.ndarray, x: np.ndarray, seed: int) -> tuple
 
 def _sizes(enough: int):
     """For each row the levels at which its run grows and by how much, from the longest prefix upwards until enough."""
-    names = pa.schema([("id", pa.string()), ("level", pa.int32()), ("grown", pa.int64())])
+    names = pa.schema([("id", pa.int64()), ("level", pa.int32()), ("grown", pa.int64())])
 
     def run(part: int, ids: np.ndarray, x: np.ndarray, common: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
         before = np.ones(len(ids), np.int64)
@@ -157,7 +157,7 @@ def _sizes(enough: int):
 
 def _search(k: int, least: float):
     """For each row its best among the rows that share its prefix of the level asked for."""
-    names = pa.schema([("a", pa.string()), ("b", pa.string()), ("cosine", pa.float64())])
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 
     def block(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         s = x[rows] @ x[lo:hi].T
@@ -202,7 +202,7 @@ def _by_part(dim: int, work):
                 x = np.frombuffer(b"".join(t["u"].to_pylist()), dtype=np.int16).reshape(-1, dim).astype(np.float32)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 order, common = _ordered(np.asarray(t["h"]), np.asarray(t["more"]), x, int(part))
-                yield from work(int(part), np.asarray(t["id"].to_pylist(), dtype=object)[order], x[order], common, np.asarray(t["level"])[order])
+                yield from work(int(part), np.asarray(t["id"])[order], x[order], common, np.asarray(t["level"])[order])
                 held.clear()
 
         for b in batches:
@@ -220,11 +220,11 @@ def _by_part(dim: int, work):
 
 
 def forest_pairs(units: DataFrame, dim: int, k: int, least: float, trees: int = TREES, window: int = WINDOW, seed: int = 7) -> DataFrame:
-    """``(a, b, cosine)``: for each ``id`` of ``units(id, u)`` its ``k`` best by cosine, of ``least`` or more."""
+    """``(a, b, cosine)``: for each number ``id`` of ``units(id, u)`` its ``k`` best by cosine, of ``least`` or more."""
     n = units.count()
     sample = bounded_sample(units, "u", SAMPLE)
     if not sample:
-        return units.sparkSession.createDataFrame([], "a string, b string, cosine double")
+        return units.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double")
     x = np.array(sample, dtype=np.float32)
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((trees, 2, BITS, dim)).astype(np.float32)
@@ -240,16 +240,16 @@ def forest_pairs(units: DataFrame, dim: int, k: int, least: float, trees: int =
         borders.append((h[at], more[at]))
 
     def arrays(rows: DataFrame) -> DataFrame:
-        hashed = rows.mapInArrow(_hash_batches(dim, planes, cuts, heavy, borders), "part int, h bigint, more bigint, id string, u binary, level int")
+        hashed = rows.mapInArrow(_hash_batches(dim, planes, cuts, heavy, borders), "part int, h bigint, more bigint, id bigint, u binary, level int")
         return hashed.repartitionById(trees * per_tree, "part").sortWithinPartitions("part", "h", "more", "id")
 
     enough = ENOUGH * trees * 2 * window
-    grown = arrays(units.withColumn("level", F.lit(0))).mapInArrow(_by_part(dim, _sizes(enough)), "id string, level int, grown bigint")
+    grown = arrays(units.withColumn("level", F.lit(0))).mapInArrow(_by_part(dim, _sizes(enough)), "id bigint, level int, grown bigint")
     grown = grown.groupBy("id", "level").agg(F.sum("grown").alias("grown"))
     seen = grown.withColumn("seen", F.sum("grown").over(W.partitionBy("id").orderBy(F.desc("level"))))
     levels = seen.groupBy("id").agg(F.max(F.when(F.col("seen") >= enough, F.col("level"))).alias("level"))
     wanted = units.join(levels, "id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    found = arrays(wanted).mapInArrow(_by_part(dim, _search(k, least)), "a string, b string, cosine double")
+    found = arrays(wanted).mapInArrow(_by_part(dim, _search(k, least)), "a bigint, b bigint, cosine double")
     found = found.repartition("a").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))  # one shuffle for this and the ranking
     best = found.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b")))
     return best.where(F.col("r") <= k).select("a", "b", "cosine")
@@ -269,7 +269,8 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, leas
     units = valid_vectors(df, id_col, vec_col, dim).mapInArrow(_units(dim), "id string, u array<float>")
     units = cut(units.withColumn("key", F.struct(F.xxhash64("u").alias("k1"), F.xxhash64("u", F.lit(1)).alias("k2"))))
     first = units.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
-    classes = cut(first.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.max_by("u", -F.col("r")).alias("u")).withColumn("rep", F.col("ids")[0]))
+    classes = cut(first.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.max_by("u", -F.col("r")).alias("u")))
+    classes = classes.withColumn("rep", F.monotonically_increasing_id())  # fixed by the checkpoint under it; numbers travel, not ids
     pairs = forest_pairs(classes.select(F.col("rep").alias("id"), "u"), dim, k, least, trees, window)
 
     others = pairs.join(classes.select(F.col("rep").alias("b"), F.col("ids").alias("bs")), "b").select("a", F.explode("bs").alias("neighbour"), "cosine")
@@ -279,3 +280,13 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, leas
     copies = units.select("id", "key").join(classes.where(F.size("ids") > 1).select("key", "ids"), "key")
     inside = copies.select("id", F.explode(F.slice(F.array_remove("ids", F.col("id")), 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine")).where(F.lit(1.0) >= least)
     return outside.unionByName(inside)
+
+
+def exact_cosines(neighbours: DataFrame, df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    """``neighbours(id, neighbour)`` with the cosines of the vectors as they are stored, which the forest rounds."""
+    units = valid_vectors(df, id_col, vec_col, dim)
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    units = units.select("id", "v", length(F.col("v")).alias("l"))
+    both = neighbours.select("id", "neighbour").join(units, "id").join(units.select(F.col("id").alias("neighbour"), F.col("v").alias("w"), F.col("l").alias("m")), "neighbour")
+    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return both.select("id", "neighbour", (dot / (F.col("l") * F.col("m"))).alias("cosine"))
