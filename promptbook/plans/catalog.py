@@ -505,6 +505,21 @@ def mst_edges(spark: SparkSession, d: str) -> DataFrame:
     return density.mst_edges(_planar(spark, d), 20)
 
 
+_MR = lambda i: f"greatest(sqrt((xs[{i}] - xs[j]) * (xs[{i}] - xs[j]) + (ys[{i}] - ys[j]) * (ys[{i}] - ys[j])), cs[{i}], cs[j])"
+
+
+# Prim's algorithm, one row for each step, with the nearest distance to the tree of every row outside of it
+@query(f"""WITH RECURSIVE {_XY_SQL}, p AS (SELECT character_id AS id, x, y FROM xy WHERE isfinite(x) AND isfinite(y)),
+core AS (SELECT id, max(d) AS c FROM (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS r FROM p a JOIN p b ON a.id <> b.id) WHERE r <= 20 GROUP BY 1),
+l AS (SELECT list(x ORDER BY id) AS xs, list(y ORDER BY id) AS ys, list(c ORDER BY id) AS cs, range(1, count(*) + 1) AS js FROM p JOIN core USING (id)),
+prim(step, w, best) AS (SELECT 1, NULL::DOUBLE, list_transform(js, lambda j: CASE WHEN j > 1 THEN {_MR(1)} END) FROM l
+  UNION ALL SELECT step + 1, m, list_transform(js, lambda j: CASE WHEN j <> i AND best[j] IS NOT NULL THEN least(best[j], {_MR('i')}) END) FROM (SELECT step, best, list_min(best) AS m, list_position(best, list_min(best)) AS i FROM prim WHERE list_min(best) IS NOT NULL), l)
+SELECT round(w, 6) AS weight, count(*) AS n FROM prim WHERE w IS NOT NULL GROUP BY 1""")
+def mst_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The weights of the tree, which all least spanning trees of the rows share."""
+    return mst_edges(spark, d).groupBy(F.round("weight", 6).alias("weight")).agg(F.count("*").alias("n"))
+
+
 @query()
 def hdbscan_labels(spark: SparkSession, d: str) -> DataFrame:
     return density.hdbscan(_planar(spark, d), config.PRESETS[0].min_cluster_size)

@@ -92,6 +92,16 @@ def test_knn_is_exact_over_blocks(spark):
     assert got == {(f"v{i:02d}", f"v{j:02d}") for i in range(len(x)) for j in np.argsort(d[i])[:4]}
 
 
+def test_of_equal_neighbours_the_lesser_ids_are_kept(spark):
+    df = spark.createDataFrame([(f"v{i:02d}", [1.0, 0.0]) for i in range(30)], "id string, v array<double>")
+    got = {}
+    for r in vectors.knn(df, 3, block=8).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbour))
+    for i, pairs in got.items():
+        assert [n for _, n in sorted(pairs)] == [f"v{j:02d}" for j in range(4) if f"v{j:02d}" != i][:3]
+    assert len(got) == 30
+
+
 def test_valid_vectors(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [1.0, 2.0]), ("b", [0.0, 0.0]), ("c", [float("nan"), 1.0]), ("d", None), (None, [1.0, 1.0]), ("e", [1.0])], "i string, e array<float>")
     assert [r.id for r in vectors.valid(df, "i", "e", 2).collect()] == ["a"]
@@ -118,6 +128,34 @@ def test_spanning_tree_weight_equals_kruskal():
     assert abs(tree[:, 2].sum() - total) < 1e-9
 
 
+@pytest.mark.parametrize("block,finish", [(1024, 50_000), (16, 50_000), (16, 4)])
+def test_tree_of_blocks_and_rounds_equals_the_tree_of_all_rows(spark, block, finish):
+    x, _ = blobs(15)
+    x[3] = x[4] = x[5]
+    df = spark.createDataFrame([(f"v{i:02d}", [float(t) for t in r]) for i, r in enumerate(x)], "id string, position array<double>")
+    rows = density.mst_edges(df, 4, block, finish).collect()
+    want = density.spanning_tree(x, density.core(x, 4))[:, 2]
+    assert np.allclose(sorted(r.weight for r in rows), sorted(want)) and len(rows) == len(x) - 1
+    root = {f"v{i:02d}": f"v{i:02d}" for i in range(len(x))}
+    for r in rows:
+        a, b = r.a, r.b
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        assert a != b and r.a < r.b
+        root[a] = b
+    assert density.mst_edges(df.where("false"), 4, block, finish).count() == 0 and density.mst_edges(df.limit(1), 4, block, finish).count() == 0
+
+
+def test_hdbscan_over_blocks_equals_that_in_memory(spark):
+    x, _ = blobs(40)
+    df = spark.createDataFrame([(f"v{i:03d}", [float(t) for t in r]) for i, r in enumerate(x)], "id string, position array<double>")
+    got = [r.cluster for r in density.hdbscan(df, 10, block=32).orderBy("id").collect()]
+    assert got == list(density.cluster(x, 10))
+    assert density.hdbscan(df.where("false"), 10).count() == 0
+
+
 def test_density_clusters_find_blobs_and_noise(spark):
     x, y = blobs()
     x = np.concatenate([x, [[500.0] * 5]])
