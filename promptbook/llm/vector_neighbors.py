@@ -5,7 +5,8 @@ vector lies on, and keeps the strings in sorted order, where vectors with a comm
 A run of equal strings, as a dense bundle gives, is split by further hyperplanes whose thresholds are fitted
 to that run, other ones in each tree. For every vector all trees are ascended at the same pace, from the
 longest common prefix to ever shorter ones, until together they hold enough candidates; the candidates are
-compared by cosine in blocks, so the work grows with the number of vectors and not with its square.
+compared by cosine in blocks, so the work grows with the number of vectors and not with its square. How far to ascend
+is found from the strings alone; vectors travel to the trees once.
 """
 
 from __future__ import annotations
@@ -90,12 +91,15 @@ def _strings(x: np.ndarray, planes: np.ndarray, cuts: np.ndarray, heavy: dict[in
     return h, more
 
 
-def _hash_batches(dim: int, planes: np.ndarray, cuts: np.ndarray, heavy: list[dict], borders: list[tuple]):
+def _hash_batches(dim: int, planes: np.ndarray, cuts: np.ndarray, heavy: list[dict], borders: list[tuple], whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("u"), dim)
-            small = np.rint(x * SCALE).astype(np.int16)
-            small = pa.array([r.tobytes() for r in small], pa.binary())
+            if whole:
+                small = np.rint(x * SCALE).astype(np.int16)
+                small = pa.array([r.tobytes() for r in small], pa.binary())
+            else:
+                small = pa.nulls(len(x), pa.binary())
             rest = [b.column("id"), small, b.column("level")]
             for t in range(len(planes)):
                 h, more = _strings(x, planes[t], cuts[t], heavy[t])
@@ -117,8 +121,9 @@ def _runs(common: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(common))
 
 
-def _ordered(h: np.ndarray, more: np.ndarray, x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the rows of one sorted array after all bits, and the prefix each shares with the one before."""
+def _ordered(h: np.ndarray, more: np.ndarray, x: np.ndarray | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of one sorted array after all bits, and the prefix each shares with the one before. Long runs
+    are halved at the median of each further hyperplane, so the lengths of prefixes do not need the vectors ``x``."""
     common, further = _common(h), _common(more)
     common = np.where(common == BITS, BITS + np.maximum(further, 0), common)
     order = np.arange(len(h))
@@ -129,24 +134,27 @@ def _ordered(h: np.ndarray, more: np.ndarray, x: np.ndarray, seed: int) -> tuple
         long = end - first > LONG_RUN
         if not long.any():
             break
-        plane = rng.standard_normal(x.shape[1]).astype(np.float32)
+        plane = None if x is None else rng.standard_normal(x.shape[1]).astype(np.float32)
         depth += 1
         for lo, hi in zip(first[long], end[long]):
-            order[lo:hi] = order[lo:hi][np.argsort(x[order[lo:hi]] @ plane, kind="stable")]
+            if plane is not None:
+                order[lo:hi] = order[lo:hi][np.argsort(x[order[lo:hi]] @ plane, kind="stable")]
             common[lo + 1 : hi] = depth
             common[(lo + hi) // 2] = depth - 1
     return order, common
 
 
 def _sizes(enough: int):
-    """For each row the levels at which its run grows and by how much, from the longest prefix upwards until enough."""
+    """For each row the levels at which its run grows and by how much, from the longest prefix upwards until enough. Runs
+    too short to matter beside ``enough`` are counted with the next longer one."""
     names = pa.schema([("id", pa.int64()), ("level", pa.int32()), ("grown", pa.int64())])
 
-    def run(part: int, ids: np.ndarray, x: np.ndarray, common: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def run(part: int, ids: np.ndarray, x: np.ndarray | None, common: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
         before = np.ones(len(ids), np.int64)
         for at in np.unique(common)[::-1]:
             first, end = _runs(common, max(0, at))
             now = np.repeat(end - first, end - first)
+            now = np.where((now < enough // 128) & (at > 0), before, now)
             grown = np.flatnonzero((now > before) & (before < enough))
             if len(grown):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[grown]), pa.array(np.full(len(grown), max(0, at), np.int32)), pa.array((now - before)[grown])], schema=names)
@@ -199,10 +207,12 @@ def _by_part(dim: int, work):
         def flush():
             if held:
                 t = pa.Table.from_batches(held)
-                x = np.frombuffer(b"".join(t["u"].to_pylist()), dtype=np.int16).reshape(-1, dim).astype(np.float32)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = None
+                if t["u"].null_count < t.num_rows:
+                    x = np.frombuffer(b"".join(t["u"].to_pylist()), dtype=np.int16).reshape(-1, dim).astype(np.float32)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
                 order, common = _ordered(np.asarray(t["h"]), np.asarray(t["more"]), x, int(part))
-                yield from work(int(part), np.asarray(t["id"])[order], x[order], common, np.asarray(t["level"])[order])
+                yield from work(int(part), np.asarray(t["id"])[order], None if x is None else x[order], common, np.asarray(t["level"])[order])
                 held.clear()
 
         for b in batches:
@@ -239,17 +249,17 @@ def forest_pairs(units: DataFrame, dim: int, k: int, least: float, trees: int =
         at = np.lexsort((more, h))[np.arange(1, per_tree) * len(x) // per_tree]
         borders.append((h[at], more[at]))
 
-    def arrays(rows: DataFrame) -> DataFrame:
-        hashed = rows.mapInArrow(_hash_batches(dim, planes, cuts, heavy, borders), "part int, h bigint, more bigint, id bigint, u binary, level int")
+    def arrays(rows: DataFrame, whole: bool) -> DataFrame:
+        hashed = rows.mapInArrow(_hash_batches(dim, planes, cuts, heavy, borders, whole), "part int, h bigint, more bigint, id bigint, u binary, level int")
         return hashed.repartitionById(trees * per_tree, "part").sortWithinPartitions("part", "h", "more", "id")
 
     enough = ENOUGH * trees * 2 * window
-    grown = arrays(units.withColumn("level", F.lit(0))).mapInArrow(_by_part(dim, _sizes(enough)), "id bigint, level int, grown bigint")
+    grown = arrays(units.withColumn("level", F.lit(0)), False).mapInArrow(_by_part(dim, _sizes(enough)), "id bigint, level int, grown bigint")
     grown = grown.groupBy("id", "level").agg(F.sum("grown").alias("grown"))
     seen = grown.withColumn("seen", F.sum("grown").over(W.partitionBy("id").orderBy(F.desc("level"))))
     levels = seen.groupBy("id").agg(F.max(F.when(F.col("seen") >= enough, F.col("level"))).alias("level"))
     wanted = units.join(levels, "id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    found = arrays(wanted).mapInArrow(_by_part(dim, _search(k, least)), "a bigint, b bigint, cosine double")
+    found = arrays(wanted, True).mapInArrow(_by_part(dim, _search(k, least)), "a bigint, b bigint, cosine double")
     found = found.repartition("a").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))  # one shuffle for this and the ranking
     best = found.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b")))
     return best.where(F.col("r") <= k).select("a", "b", "cosine")
