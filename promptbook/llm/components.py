@@ -2,11 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptbook.plans.lineage import cut
 
+#: Edges that a task joins at a time before labels are propagated.
+LOCAL_EDGES = 500_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        held.clear()
+        nodes, ends = np.unique(np.concatenate([np.asarray(t["a"]), np.asarray(t["b"])]), return_inverse=True)
+        a, b = ends[: t.num_rows], ends[t.num_rows :]
+        root = np.arange(len(nodes))
+        while True:  # least root of both ends, then of the root's root, until nothing moves
+            least = np.minimum(root[a], root[b])
+            now = root.copy()
+            for x in (a, b, root[a], root[b]):
+                np.minimum.at(now, x, least)
+            now = now[now]
+            if (now == root).all():
+                break
+            root = now
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[root]), pa.array(nodes)], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= LOCAL_EDGES:
+            yield from flush()
+    yield from flush()
+
+
+def contract(edges: DataFrame, near: str) -> DataFrame:
+    """``(a, b)`` with the components of ``edges(a, b, near)`` between numbers: each task joins the edges it holds, and
+    leaves one edge for each of their nodes, from the least node joined to it. Edges of equal ``near``, which should
+    be those of one neighbourhood, meet in a task, so that long chains become short before labels are propagated."""
+    return edges.repartition(near).select("a", "b").mapInArrow(_stars, "a bigint, b bigint")
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, label)`` of every node on an edge; ``label`` is the smallest node of its component.

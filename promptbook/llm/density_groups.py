@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptbook.llm.components import components
+from promptbook.llm.components import components, contract
 from promptbook.plans.lineage import cut
 
 #: Cell side as a share of the radius: the diagonal, 0.99 of the radius, stays below it.
 SIDE = 0.7
 #: Two cells are compared point by point only if that takes at most so many comparisons; larger pairs are refined.
 DIRECT = 4096
+#: Bits of the numbers of cells that do not tell squares of cells apart; links within a square are contracted by one task.
+SQUARE_BITS = 5
 #: Offsets of the cells that can hold a touching point, one of each opposite pair.
 OFFSETS = [(i, j) for i in range(0, 3) for j in range(-2, 3) if i > 0 or j > 0]
 
@@ -66,22 +68,23 @@ def touching_groups(points: DataFrame, id_col: str, x_col: str, y_col: str, radi
     cells = _boxes(pts, ["cx", "cy"])
 
     offsets = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in OFFSETS])).alias("o")
-    left = cells.select(F.col("key").alias("a"), F.col("box").alias("p"), "cx", "cy", offsets).select("a", "p", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    square = F.xxhash64(F.shiftright("cx", SQUARE_BITS), F.shiftright("cy", SQUARE_BITS)).alias("square")
+    left = cells.select(F.col("key").alias("a"), F.col("box").alias("p"), "cx", "cy", square, offsets).select("a", "p", "square", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
     pairs = cut(_split(left.join(cells.select("cx", "cy", F.col("key").alias("b"), F.col("box").alias("q")), ["cx", "cy"]).drop("cx", "cy"), radius))
 
     r2 = radius * radius
-    found = [pairs.where(F.col("far") <= r2).select("a", "b")]
-    open_ = pairs.where(F.col("far") > r2).select("a", "b", F.col("a").alias("pa"), F.col("b").alias("pb"), "p", "q")
+    found = [pairs.where(F.col("far") <= r2).select("a", "b", "square")]
+    open_ = pairs.where(F.col("far") > r2).select("a", "b", "square", F.col("a").alias("pa"), F.col("b").alias("pb"), "p", "q")
     level, parents = 0, pts.join(cells.select("cx", "cy", F.col("key").alias("box_key")), ["cx", "cy"]).select("px", "py", "box_key")
     while not open_.isEmpty():
         small = open_.where(F.col("p.n") * F.col("q.n") <= DIRECT)
         ends = parents.select(F.col("box_key"), "px", "py")
         exact = (
-            small.select("a", "b", "pa", "pb")
+            small.select("a", "b", "square", "pa", "pb")
             .join(ends.select(F.col("box_key").alias("pa"), F.col("px").alias("x1"), F.col("py").alias("y1")), "pa")
             .join(ends.select(F.col("box_key").alias("pb"), F.col("px").alias("x2"), F.col("py").alias("y2")), "pb")
             .where((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2 <= r2)
-            .select("a", "b")
+            .select("a", "b", "square")
             .distinct()
         )
         found.append(cut(exact))
@@ -95,16 +98,16 @@ def touching_groups(points: DataFrame, id_col: str, x_col: str, y_col: str, radi
         down = down.join(used, "box_key", "left_semi")
         children = _boxes(down, ["box_key", "fx", "fy"])
         parents = cut(down.join(children.select("box_key", "fx", "fy", F.col("key").alias("child")), ["box_key", "fx", "fy"]).select("px", "py", F.col("child").alias("box_key")))
-        sub = large.select("a", "b", "pa", "pb").join(children.select(F.col("box_key").alias("pa"), F.col("key").alias("ka"), F.col("box").alias("p")), "pa").join(children.select(F.col("box_key").alias("pb"), F.col("key").alias("kb"), F.col("box").alias("q")), "pb")
-        sub = cut(_split(sub.select("a", "b", F.col("ka").alias("pa"), F.col("kb").alias("pb"), "p", "q"), radius))
-        sure = sub.where(F.col("far") <= r2).select("a", "b").distinct()
+        sub = large.select("a", "b", "square", "pa", "pb").join(children.select(F.col("box_key").alias("pa"), F.col("key").alias("ka"), F.col("box").alias("p")), "pa").join(children.select(F.col("box_key").alias("pb"), F.col("key").alias("kb"), F.col("box").alias("q")), "pb")
+        sub = cut(_split(sub.select("a", "b", "square", F.col("ka").alias("pa"), F.col("kb").alias("pb"), "p", "q"), radius))
+        sure = sub.where(F.col("far") <= r2).select("a", "b", "square").distinct()
         found.append(sure)
-        open_ = cut(sub.where(F.col("far") > r2).select("a", "b", "pa", "pb", "p", "q").join(sure, ["a", "b"], "left_anti"))
+        open_ = cut(sub.where(F.col("far") > r2).select("a", "b", "square", "pa", "pb", "p", "q").join(sure, ["a", "b"], "left_anti"))
 
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
-    labels = components(edges)
+    labels = components(contract(edges, "square"))
     groups = cells.select(F.col("key").alias("node"), "cx", "cy", F.col("box.n").alias("cell_n")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = groups.groupBy("label").agg(F.sum("cell_n").alias("group_n")).where(F.col("group_n") >= min_size)
     groups = groups.join(sizes, "label").select("label", "cx", "cy", "cell_n", "group_n")

@@ -1,6 +1,7 @@
 import numpy as np
 
-from promptbook.llm.components import components
+from promptbook.llm import components as comp
+from promptbook.llm.components import components, contract
 from promptbook.llm.density_groups import describe_groups, touching_groups
 
 SCHEMA = "character_id string, x double, y double, id int, cx string, label int"
@@ -74,3 +75,14 @@ def test_description_lists_members_of_dense_cells(spark):
 def test_components_ignore_nulls_and_loops(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "z"), (None, "a"), ("y", "x")], "a string, b string")
     assert {(r.node, r.label) for r in components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("z", "z"), ("x", "x"), ("y", "x")}
+
+
+def test_contracted_links_have_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    chain = [(i, i + 1, i // 40) for i in range(400)] + [(1000 + int(a), 1000 + int(b), int(t)) for a, b, t in rng.integers(0, 60, (50, 3))]
+    edges = spark.createDataFrame(chain, "a long, b long, near long")
+    want = {(r.node, r.label) for r in components(edges).collect()}
+    for most in (500_000, 7):
+        monkeypatch.setattr(comp, "LOCAL_EDGES", most)
+        assert {(r.node, r.label) for r in components(contract(edges, "near")).collect()} == want
+    assert components(contract(edges.where("false"), "near")).count() == 0
