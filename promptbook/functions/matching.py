@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,10 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(scores)
 
 
+#: The same names meet the same roles in many plays, so a worker scores most pairs once.
+_once = lru_cache(1 << 18)(token_set_ratio)
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)])
+    return pd.Series([_once(x, y) for x, y in zip(a, b)])

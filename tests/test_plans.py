@@ -15,6 +15,17 @@ def test_cuts_keep_rows_and_end_the_plan(spark):
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
 
 
+def test_checkpoints_on_a_cluster_need_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    import pytest
+
+    unset = N(isDefined=lambda: False)
+    sc = N(_jsc=N(sc=lambda: N(getCheckpointDir=lambda: unset)), getConf=lambda: N(get=lambda k: None), master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(N(sparkContext=sc, conf=N(get=lambda k, d: d)))
+
+
 def test_sample_is_bounded_and_the_same_every_time(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("v"), F.lit(1).alias("_h2"))
     one, two = bounded_sample(df, "v", 50), bounded_sample(df.repartition(7), "v", 50)
