@@ -62,7 +62,8 @@ def _cut_batches(limit: int, overlap: int, schema: pa.Schema):
 def pieces(items: DataFrame, id_col: str, text_col: str, limit: int, overlap: int) -> DataFrame:
     """``(id, piece_no, n_pieces, start_at, n_chars, piece)``; sizes count code points.
 
-    Items within the limit stay in the JVM as one piece. Dropping the first ``overlap`` code points of every
+    Items within the limit stay in the JVM as one piece. A piece ends at a natural place; the next starts exactly
+    ``overlap`` code points before that, as specified, which may be within a word. Dropping the first ``overlap`` code points of every
     later piece and joining the rest gives the text back.
 
     Edge cases: null texts give no piece, an empty text one empty piece; a text without any natural boundary
