@@ -576,7 +576,12 @@ def keyword_excerpts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("character_id", "place", "e.passage", "e.hits")
 
 
-@query()
+_KEYWORDS = f"list_filter(list_transform(string_split(coalesce(top_words, ''), ','), lambda x: lower({_strip('x')})), lambda x: x <> '')"
+_RUNS = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'"
+
+
+# keywords are single words, so a speech is taken apart into runs of word characters and of others
+@query(f"WITH {_MEMBERS_SQL}, {_TEXTS_SQL} SELECT character_id, coalesce(array_to_string(list_transform(regexp_extract_all(speech_text, {_RUNS}), lambda w: CASE WHEN list_contains({_KEYWORDS}, lower(w)) THEN '<mark>' || {_escape('w')} || '</mark>' ELSE {_escape('w')} END), ''), '') AS html FROM m JOIN texts USING (character_id) WHERE cluster <> -1")
 def highlighted(spark: SparkSession, d: str) -> DataFrame:
     rows = _shown_rows(spark, d).where("cluster <> -1 and speech_text is not null")
     return rows.select("character_id", T.highlight(F.col("speech_text"), T.top_words(F.col("top_words"))).alias("html"))
