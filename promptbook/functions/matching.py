@@ -21,6 +21,7 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+@lru_cache(1 << 18)  # the same names meet the same roles in many plays
 def token_set_ratio(a: str | None, b: str | None) -> float:
     """0 to 100. Words shared by both count once; 100 if one side has no word of its own left; 0 if a side is empty."""
     x, y = set((a or "").split()), set((b or "").split())
@@ -39,10 +40,6 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(scores)
 
 
-#: The same names meet the same roles in many plays, so a worker scores most pairs once.
-_once = lru_cache(1 << 18)(token_set_ratio)
-
-
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_once(x, y) for x, y in zip(a, b)])
+    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)])
