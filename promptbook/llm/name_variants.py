@@ -212,16 +212,16 @@ def _segments(n: int) -> list[tuple[int, int]]:
 
 
 def _index(word: str) -> list[str]:
-    """Keys under which a word of a person's name is found: its beginnings, which hold its first segment, their last
-    segments, and its own last one. One slip breaks at most two segments side by side, so the first or the last stays;
-    of two slips in a long word the middle segment may be the one that stays."""
+    """Keys under which a word of a person's name is found: its beginnings and their last segments, and its own first and
+    last one. One slip breaks at most two segments side by side, so the first or the last stays; of two slips in a long
+    word the middle segment may be the one that stays."""
     n = len(word)
     keys = [f"p{word[:k]}" for k in range(1, min(n, HEAD) + 1)]
     for m in range(LEAST_WORD, min(n, HEAD)):
         a, e = _segments(m)[-1]
         keys.append(f"b{m}.{word[a:e]}")
     if n >= LEAST_WORD:
-        keys += [f"{n}.{i}.{word[a:e]}" for i, (a, e) in enumerate(_segments(n)) if i == EDITS or i and slips(word) > 1]
+        keys += [f"{n}.{i}.{word[a:e]}" for i, (a, e) in enumerate(_segments(n)) if i != 1 or slips(word) > 1]
     return keys
 
 
@@ -245,11 +245,11 @@ def _probes(word: str, short: bool, formal: list[str], alone: bool) -> list[str]
         for m in range(max(LEAST_WORD, n - 2), n + 3):
             k, parts = slips("x" * m), _segments(m)
             if abs(m - n) <= k:
-                keys.append(f"p{word[: parts[0][1]]}")
+                keys.append(f"{m}.0.{word[: parts[0][1]]}")
                 for i in range(EDITS if k == 1 else 1, EDITS + 1):
                     keys += shifted(f"{m}.{i}", *parts[i], k)
         for m in (n - 1, n, n + 1) if short and n > LEAST_WORD else ():
-            keys.append(f"p{word[: _segments(m)[0][1]]}")
+            keys.append(f"p{word[: max(2, _segments(m)[0][1])]}")  # a single letter would ask for every name with it
             keys += shifted(f"b{m}", *_segments(m)[-1], 1)
     return [k for k in dict.fromkeys(keys) if MISSING not in k]
 
